@@ -11,7 +11,7 @@ sorted in one task. Only counts per leaf (as many as targets) reach the driver.
 
 A row counts if its key has no null part and its label fits the class. Repeated rows and ties of one key are one draw
 (the row with the least label_id stands for it); a key delivered in two classes is available in both. Targets with a
-null share or minimum count as 0. Empty tables give no sample and a report with available 0.
+null share or minimum count as 0; minima that exceed the sample size together share it in proportion. Empty tables give no sample and a report with available 0.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def allocate(targets: list[dict], available: dict[tuple, int]) -> list[dict]:
             groups[family(t["type_class"])].append(i)
         # top-down: the split's size to families, then to classes; minima first, the rest by share
         quota = [0] * len(leaves)
-        floors = [min(x, size) for x in least]
+        floors = least if sum(least) <= size else apportion(size, least)
         for node, part in zip(groups.values(), apportion(size, [math.fsum(share[i] for i in g) for g in groups.values()]), strict=True):
             for i, n in zip(node, apportion(part, [share[i] for i in node]), strict=True):
                 quota[i] = n

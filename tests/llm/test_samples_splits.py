@@ -14,7 +14,7 @@ D = date(2020, 6, 1)
 
 
 def label(i, split="train", cls="FIRETYPE1", row=None, col=1, day=D, lab=None, event=None, aoi=1):
-    return (i, aoi, day, i if row is None else row, col, (0 if cls.startswith("NO") else 1) if lab is None else lab, cls, split, event, "f.csv", "clash")
+    return (i, aoi, day, i if row is None else row, col, (0 if (cls or "").startswith("NO") else 1) if lab is None else lab, cls, split, event, "f.csv", "clash")
 
 
 def targets(spark, rows):
