@@ -139,11 +139,11 @@ def _(s, d):
 def history(s, d):
     """The fwi windows of complete samples as pseudo-daily series of 64 days."""
     f = nulls_for_gaps(features(s, d).select("aoi_id", "row", "col", "window_id", "fwi"), ["fwi"]).where("window_id between 1 and 4")
-    w = f.groupBy("aoi_id", "row", "col", "window_id").agg(F.avg(F.col("fwi").cast("double")).alias("value"))
+    w = f.groupBy("aoi_id", "row", "col", "window_id").agg(F.avg(F.when(F.col("fwi").between(0, 150), F.col("fwi").cast("double"))).alias("value"))
     return pseudo_daily(w).withColumn("feature", F.lit("fwi"))
 
 
-HISTORY = """hw as (select aoi_id, "row", col, window_id, avg(fwi::double) filter (where not isnan(fwi) and not isinf(fwi)) as value from features_train where window_id between 1 and 4 group by all),
+HISTORY = """hw as (select aoi_id, "row", col, window_id, avg(fwi::double) filter (where fwi between 0 and 150) as value from features_train where window_id between 1 and 4 group by all),
  h as (select aoi_id, "row", col, (4 - window_id) * 16 + i as i, 'fwi' as feature, value from hw, range(0, 16) r(i)),
  de as (select * from (select *, coalesce(value, 0) - lag(coalesce(value, 0)) over (partition by aoi_id, "row", col order by i) as delta from h) where delta is not null)"""
 

@@ -111,12 +111,14 @@ def _(s, d):
 _G = lambda c: f"({c} is null or isnan({c}) or isinf({c}))"
 
 
-@q("c07_cleaning", f"""with b as (select distinct {K} from features_train where {_G('aet')} and {_G('fwi')} and {_G('dc')}), k as (select * from features_train f where not exists (select 1 from b where b.aoi_id = f.aoi_id and b.target_date = f.target_date and b."row" = f."row" and b.col = f.col)),
+@q("c07_cleaning", f"""with ft as (select feat_id, {K}, case when aet between 0 and 250 then aet end as aet, case when fwi between 0 and 150 then fwi end as fwi, case when dc between 0 and 1500 then dc end as dc from features_train), b as (select distinct {K} from ft where {_G('aet')} and {_G('fwi')} and {_G('dc')}), k as (select * from ft f where not exists (select 1 from b where b.aoi_id = f.aoi_id and b.target_date = f.target_date and b."row" = f."row" and b.col = f.col)),
  m as (select avg(aet::double) filter (where not {_G('aet')}) as a, avg(fwi::double) filter (where not {_G('fwi')}) as f, avg(dc::double) filter (where not {_G('dc')}) as c from k)
  select feat_id, round(case when {_G('aet')} then a else aet::double end, 5) as aet, round(case when {_G('fwi')} then f else fwi::double end, 5) as fwi, round(case when {_G('dc')} then c else dc::double end, 5) as dc from k, m""")
 def _(s, d):
     cols = ["aet", "fwi", "dc"]
-    rows, _ = clean(features(s, d).select("feat_id", *KEY, *cols), cols, KEY)
+    limits = {"aet": 250, "fwi": 150, "dc": 1500}
+    f = features(s, d).select("feat_id", *KEY, *(F.when(F.col(c).between(0, limits[c]), F.col(c)).alias(c) for c in cols))
+    rows, _ = clean(f, cols, KEY)
     return rows.select("feat_id", *(F.round(c, 5).alias(c) for c in cols))
 
 

@@ -116,9 +116,9 @@ def _(s, d):
 
 @q("w8_inverse_distance", f"""with {_HOLES}, k as (select a.m, a."row", a.col, sum(b.value / (dr * dr + dc * dc)) / sum(1.0 / (dr * dr + dc * dc)) as idw
  from h a, range(-3, 4) x(dr), range(-3, 4) y(dc), h b where b.m = a.m and b."row" = a."row" + dr and b.col = a.col + dc and b.value is not null and a.value is null and dr * dr + dc * dc between 1 and 9 group by all)
- select m, "row", col, round(coalesce(value, idw), 6) as value from h left join k using (m, "row", col)""")
+ select m, "row", col, round(coalesce(value, idw), 4) as value from h left join k using (m, "row", col)""")
 def _(s, d):
-    return SP.inverse_distance_fill(holes(s, d), "value", ["m"], 3).select("m", "row", "col", F.round("value", 6).alias("value"))
+    return SP.inverse_distance_fill(holes(s, d), "value", ["m"], 3).select("m", "row", "col", F.round("value", 4).alias("value"))
 
 
 @q("w9_mean_fallback", f'with {_HOLES} select m, "row", col, round(coalesce(value, avg(value) over (partition by m), 0), 6) as value from h')
