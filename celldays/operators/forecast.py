@@ -35,29 +35,35 @@ def closed_form(current: DataFrame, horizon: int) -> DataFrame:
     return current.withColumns({"mc_mean": F.col("value") + horizon * F.col("mu"), "mc_std": F.col("sigma") * F.sqrt(F.lit(float(horizon)))})
 
 
-def _normal(i, h, seed: int):
-    """A standard normal of (row, sample, step) by Box-Muller on md5: the same on every run, whatever the partitioning."""
-    hashed = F.md5(F.concat_ws("|", F.col("_row"), i.cast("string"), h.cast("string"), F.lit(str(seed))))
-    u = lambda a: (F.conv(F.substring(hashed, a, 8), 16, 10).cast("double") + 0.5) / float(2**32)
-    return F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * F.pi() * u(9))
+def _normal(row, i, h, seed: int):
+    """A standard normal of (row, sample, step) by Box-Muller on a 64-bit hash: the same on every run, whatever the partitioning."""
+    hashed = F.xxhash64(row, i, h, F.lit(seed))
+    half = lambda x: (x.cast("double") + 0.5) / float(2**32)
+    return F.sqrt(-2 * F.ln(half(F.shiftrightunsigned(hashed, 32)))) * F.cos(2 * F.pi() * half(hashed.bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def walk(current: DataFrame, keys: list[str], samples: int, horizon: int, low: str | None = None, high: str | None = None, seed: int = 42) -> DataFrame:
     """Samples of the random walk after horizon steps, clamped to the columns low and high at every step if given."""
-    rows = current.withColumn("_row", F.concat_ws("|", *(F.col(k).cast("string") for k in keys))).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    rows = current.withColumn("_row", F.xxhash64(*keys)).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
 
     def step(x, h):
-        y = x + F.col("mu") + F.col("sigma") * _normal(F.col("sample"), h, seed)
+        y = x + F.col("mu") + F.col("sigma") * _normal(F.col("_row"), F.col("sample"), h, seed)
         y = F.greatest(y, F.col(low)) if low else y
         return F.least(y, F.col(high)) if high else y
 
-    return rows.withColumn("projected", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("value").cast("double"), step)).drop("_row")
+    path = F.col("value").cast("double")
+    if horizon > 32:  # a long walk is a loop; a short one is unrolled, as code is generated for plain expressions only
+        path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), path, step)
+    else:
+        for h in range(1, horizon + 1):
+            path = step(path, F.lit(h))
+    return rows.withColumn("projected", path).drop("_row")
 
 
 def paths(current: DataFrame, keys: list[str], samples: int, horizon: int, seed: int = 42) -> DataFrame:
     """Whole paths (sample, step 0 .. horizon, value): a running sum per path of horizon + 1 rows."""
-    rows = current.withColumn("_row", F.concat_ws("|", *(F.col(k).cast("string") for k in keys))).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon))))
-    move = F.when(F.col("step") == 0, F.col("value").cast("double")).otherwise(F.col("mu") + F.col("sigma") * _normal(F.col("sample"), F.col("step"), seed))
+    rows = current.withColumn("_row", F.xxhash64(*keys)).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon))))
+    move = F.when(F.col("step") == 0, F.col("value").cast("double")).otherwise(F.col("mu") + F.col("sigma") * _normal(F.col("_row"), F.col("sample"), F.col("step"), seed))
     w = Window.partitionBy(*keys, "sample").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("path", F.sum(move).over(w)).drop("_row")
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,26 +39,38 @@ class _State:
             self.codes[k][at] = np.where(np.isnan(v), self.codes[k][at], v)
 
 
-def _day(state: _State, p: pd.DataFrame) -> pd.DataFrame:
-    m, at = NumpyMath, state.slots(list(p["cell"]))
-    t, rh, w, r = (p[c].to_numpy(float) for c in ("temp", "rh", "wind", "precip"))
-    lat, month = p["lat"].to_numpy(float), pd.to_datetime(p["day"]).dt.month.to_numpy()
-    old = {k: v[at] for k, v in state.codes.items()}
-    with np.errstate(all="ignore"):
-        ffmc = fwi.daily_ffmc(old["ffmc"], t, rh, w, r, m)
-        dmc, dc = fwi.daily_dmc(old["dmc"], t, rh, r, month, lat, True, m), fwi.daily_dc(old["dc"], t, r, month, lat, True, m)
-        isi, bui = fwi.daily_isi(w, ffmc, False, m), fwi.daily_bui(dmc, dc, m)
-        out = {"ffmc": ffmc, "dmc": dmc, "dc": dc, "isi": isi, "bui": bui, "fwi": fwi.daily_fwi(isi, bui, m)}
-    state.keep(at, {k: out[k] for k in state.codes})
-    return pd.DataFrame({"cell": p["cell"], "day": p["day"], **{k: pd.Series(v, index=p.index).where(~np.isnan(v)) for k, v in out.items()}})
+def _codes(old: dict[str, np.ndarray], x: dict[str, np.ndarray], month: int) -> dict[str, np.ndarray]:
+    """One day of all cells."""
+    m, months = NumpyMath, np.full(len(x["temp"]), month)
+    ffmc = fwi.daily_ffmc(old["ffmc"], x["temp"], x["rh"], x["wind"], x["precip"], m)
+    dmc = fwi.daily_dmc(old["dmc"], x["temp"], x["rh"], x["precip"], months, x["lat"], True, m)
+    dc = fwi.daily_dc(old["dc"], x["temp"], x["precip"], months, x["lat"], True, m)
+    isi, bui = fwi.daily_isi(x["wind"], ffmc, False, m), fwi.daily_bui(dmc, dc, m)
+    return {"ffmc": ffmc, "dmc": dmc, "dc": dc, "isi": isi, "bui": bui, "fwi": fwi.daily_fwi(isi, bui, m)}
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+INPUTS = ["lat", "temp", "rh", "wind", "precip"]
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (cell, day, inputs) in day order; rows of one day are one vector step."""
     state = _State(fwi.START)
-    for p in batches:
-        days = [_day(state, x) for _, x in p.groupby("day", sort=True)]
-        if days:
-            yield pd.concat(days)
+    for b in batches:
+        days = b.column(1).cast(pa.int32()).to_numpy()
+        months = days.astype("datetime64[D]").astype("datetime64[M]").astype(int) % 12 + 1
+        at = state.slots(b.column(0).to_pylist())
+        x = {c: b.column(i + 2).to_numpy(zero_copy_only=False).astype(float) for i, c in enumerate(INPUTS)}
+        out = {c: np.empty(len(days)) for c in CODES}
+        edges = [0, *(np.flatnonzero(np.diff(days)) + 1), len(days)]
+        with np.errstate(all="ignore"):
+            for i, j in zip(edges, edges[1:], strict=False):
+                here = at[i:j]
+                new = _codes({k: v[here] for k, v in state.codes.items()}, {c: v[i:j] for c, v in x.items()}, months[i])
+                state.keep(here, {k: new[k] for k in state.codes})
+                for c in CODES:
+                    out[c][i:j] = new[c]
+        if len(days):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, mask=np.isnan(v)) for v in out.values())], ["cell", "day", *CODES])
 
 
 def weather_codes(daily: DataFrame) -> DataFrame:
@@ -65,11 +78,9 @@ def weather_codes(daily: DataFrame) -> DataFrame:
 
     Rows of one cell and day are averaged first, so every cell has one row a day.
     """
-    inputs = ["lat", "temp", "rh", "wind", "precip"]
-    one = daily.where("cell is not null and day is not null").groupBy("cell", "day").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in inputs))
+    one = daily.where("cell is not null and day is not null").groupBy("cell", "day").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in INPUTS))
     ordered = one.repartition("cell").sortWithinPartitions("day", "cell")
-    out = ordered.mapInPandas(_scan, "cell string, day date, " + ", ".join(f"{c} double" for c in CODES))
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in CODES})
+    return ordered.mapInArrow(_scan, "cell string, day date, " + ", ".join(f"{c} double" for c in CODES))
 
 
 def _hourly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,14 +11,15 @@ EPOCH = F.unix_date
 def trailing(df: DataFrame, value: str, keys: list[str], day: str, size: int, count: int = 4, at_least: int = 1) -> DataFrame:
     """w1..wn: 1 where the k-th trailing window [t - k size, t - (k-1) size) has at least ``at_least`` of value = 1.
 
-    Null where one of its days is absent. One shuffle by cell; a partition is one cell's calendar.
+    Null where one of its days is absent. One shuffle by cell; a partition is one cell's calendar. Windows are differences
+    of running totals, whose frames Spark extends row by row, where a sliding frame would be summed anew at every row.
     """
     w = Window.partitionBy(*keys).orderBy(F.unix_date(day))
-    for k in range(1, count + 1):
-        frame = w.rangeBetween(-size * k, -size * (k - 1) - 1)
-        hits, days = F.sum(value).over(frame), F.count(F.lit(1)).over(frame)
-        df = df.withColumn(f"w{k}", F.when(days == size, (hits >= at_least).cast("int")))
-    return df
+    total = lambda x, k: F.coalesce(F.sum(x).over(w.rangeBetween(Window.unboundedPreceding, -size * k - 1)), F.lit(0))
+    kept = df.columns
+    df = df.withColumns({f"_{n}{k}": total(x, k) for k in range(count + 1) for n, x in (("s", F.col(value).cast("bigint")), ("n", F.lit(1)))})
+    flag = lambda k: F.when(F.col(f"_n{k - 1}") - F.col(f"_n{k}") == size, (F.col(f"_s{k - 1}") - F.col(f"_s{k}") >= at_least).cast("int"))
+    return df.select(*kept, *(flag(k).alias(f"w{k}") for k in range(1, count + 1)))
 
 
 def pattern_class(fire: Column, w: list[Column]) -> Column:

@@ -22,9 +22,10 @@ def cube(s, d):
     """Fire of every cell on every day of the observed period: the dense label cube."""
     from celldays.operators.grid import spine
 
-    c = cell_days(s, d).select("row", "col", "day", "fire")
-    first, last = c.agg(F.min("day"), F.max("day")).first()
-    cells = c.select("row", "col").distinct()
+    o = obs(s, d)
+    first, last = o.agg(F.min("day"), F.max("day")).first()
+    cells = o.select("row", "col").distinct()
+    c = o.groupBy("row", "col", "day").agg(F.max("fire").alias("fire"))
     return spine(cells, str(first), str(last)).join(c, ["row", "col", "day"], "left").fillna(0, ["fire"])
 
 
