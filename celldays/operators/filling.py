@@ -75,7 +75,7 @@ def numeric_fills(features: DataFrame, catalog: DataFrame, columns: list[str], m
     todo = base.where(gap & F.col("feat_id").isNotNull())
     month = F.month("day")
     sums = [x for c in columns for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))]
-    daily = base.groupBy(*CELL, "day").agg(*sums)
+    daily = base.groupBy(*CELL, "day").agg(*sums, F.max(gap).alias("gap"))
     means = daily.groupBy("aoi_id", month.alias("month")).agg(*(F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in columns for k in "sn"))
     area = Window.partitionBy("aoi_id")
     total = lambda t, w: t.select("*", *(F.sum(f"{k}_{c}").over(w).alias(f"all_{k}_{c}") for c in columns for k in "sn"))
@@ -92,8 +92,9 @@ def numeric_fills(features: DataFrame, catalog: DataFrame, columns: list[str], m
     for c in columns:
         series = series.withColumn(f"at_{c}", F.try_divide(f"s_{c}", f"n_{c}"))
     spot = lambda c: F.when(F.col(f"at_{c}").isNotNull(), F.struct("day", F.col(f"at_{c}").alias("v")))
-    series = series.select(*CELL, "day", *(f"at_{c}" for c in columns), *(F.last(spot(c), True).over(back).alias(f"prev_{c}") for c in columns), *(F.first(spot(c), True).over(ahead).alias(f"next_{c}") for c in columns))
-    wide = todo.join(series, [*CELL, "day"], "left").join(means, (means["aoi_id"].eqNullSafe(todo["aoi_id"])) & (means["month"].eqNullSafe(F.month(todo["day"]))), "left").drop(means["aoi_id"]).drop(means["month"])
+    series = series.select(*CELL, "day", "gap", *(f"at_{c}" for c in columns), *(F.last(spot(c), True).over(back).alias(f"prev_{c}") for c in columns), *(F.first(spot(c), True).over(ahead).alias(f"next_{c}") for c in columns))
+    asked = series.where("gap").drop("gap")  # only days that some row asks for are shuffled once more
+    wide = todo.join(asked, [*CELL, "day"], "left").join(means, (means["aoi_id"].eqNullSafe(todo["aoi_id"])) & (means["month"].eqNullSafe(F.month(todo["day"]))), "left").drop(means["aoi_id"]).drop(means["month"])
 
     def one(c: str) -> Column:
         p, n, at = F.col(f"prev_{c}"), F.col(f"next_{c}"), F.col(f"at_{c}")
