@@ -10,7 +10,7 @@ Both sides are reduced to distinct keys before the join, so an n-gram meets at m
 a key is repeated; pairs of keys are expanded to pairs of rows last, the training rows salted. Hits are verified on the
 keys themselves, so hash collisions add nothing.
 
-Rows of no split or with a null key part don't count. Repeated rows give one pair each. Empty tables give no rows.
+Rows of no split, without label_id or with a null key part don't count. Repeated rows give one pair each. Empty tables give no rows.
 Extra columns are ignored.
 """
 
@@ -27,7 +27,7 @@ SALTS = 8
 
 def records(labels: DataFrame) -> DataFrame:
     """label_id, source_file, split and the key as integers of the rows that count."""
-    rows = labels.select("label_id", "source_file", split_of("split").alias("split"), *KEY).where("split is not null").dropna(subset=KEY)
+    rows = labels.select("label_id", "source_file", split_of("split").alias("split"), *KEY).where("split is not null").dropna(subset=["label_id", *KEY])
     return rows.select("label_id", "source_file", "split", "aoi_id", F.unix_date("target_date").alias("day"), "row", "col")
 
 

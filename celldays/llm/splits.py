@@ -4,11 +4,11 @@ Records are related through their cell (area, row and column) and their fire eve
 are found by alternating large-star and small-star steps, each cut by a checkpoint; nothing of the graph reaches the
 driver. Components of identical size and label profile are bundled, and only the bundles (profile, number of
 components) do: a min-cost flow from bundles to splits, with convex costs on each split's deviation in rows and in labels, is
-started at the rounded-down proportional flow, extended by cheapest augmentations for the leftover components and
-improved by cancelling negative cycles (moves and swaps between two splits). Members get their split by the rank of their
+started at the rounded-down flow proportional to what the splits still lack, largest bundles first, extended by cheapest
+augmentations for the leftover components and improved by cancelling negative cycles (moves and swaps between two splits). Members get their split by the rank of their
 hash within the bundle, computed over hash ranges as the bundles may be large.
 
-Rows without a whole cell key and without an event are components of their own. Null labels form a third label kind.
+Rows without a whole cell key and without an event are components of their own (those without label_id together one). Null labels form a third label kind.
 Repeated rows stay with their key. Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -64,7 +64,7 @@ def with_components(labels: DataFrame) -> DataFrame:
     cell, event = F.concat(F.lit("c"), "cell"), F.concat(F.lit("e"), "event")
     roots = components(rows.where("cell is not null and event is not null").select(cell.alias("a"), event.alias("b")))
     # a hot cell or event is one node: rows are reduced to nodes before the join, and AQE splits the probe side
-    own = F.coalesce(cell, event, F.concat(F.lit("r"), F.col("label_id").cast("string")))
+    own = F.coalesce(cell, event, F.concat(F.lit("r"), F.coalesce(F.col("label_id").cast("string"), F.lit(""))))
     node = rows.withColumn("node", own)
     return node.join(roots, "node", "left").select("label_id", "delivered", "kind", "cell", "event", F.coalesce("root", "node").alias("component"))
 
@@ -83,23 +83,33 @@ def flow(bundles: list[tuple[int, int, int, int]], shares: list[float]) -> list[
     at = [[-q for q in row] for row in quota]  # deviation of each split so far
     vec = [(sum(s), *s) for s in sizes]
 
-    def delta(i: int, s: int, sign: int, after: list | None = None) -> float:
-        d = after or at[s]
-        return sum(w * ((x + sign * v) ** 2 - x**2) for w, x, v in zip(weight[s], d, vec[i], strict=True))
+    def delta(i: int, s: int, sign: int) -> float:
+        return sum(w * ((x + sign * v) ** 2 - x**2) for w, x, v in zip(weight[s], at[s], vec[i], strict=True))
 
     def add(i: int, s: int, n: int) -> None:
         at[s] = [x + n * v for x, v in zip(at[s], vec[i], strict=True)]
 
-    out = []
-    for i, b in enumerate(bundles):
-        out.append([int(b[3] * p + 1e-9) for p in shares])
-        for s, n in enumerate(out[i]):
-            add(i, s, n)
-    left = [i for i, b in enumerate(bundles) for _ in range(b[3] - sum(out[i]))]
-    for i in sorted(left, key=lambda i: (-vec[i][0], i)):
-        s = min(range(k), key=lambda s: (delta(i, s, 1), s))
-        out[i][s] += 1
-        add(i, s, 1)
+    def part(i: int) -> list[float]:
+        """Shares of a bundle's rows that each split still lacks, by the bundle's own mix of labels."""
+        want = [0.0] * k
+        for j in range(1, 4):
+            lack = [max(0.0, -at[s][j]) for s in range(k)]
+            whole = sum(lack)
+            for s in range(k):
+                want[s] += vec[i][j] * (lack[s] / whole if whole > 0 else shares[s])
+        return [x / max(1, vec[i][0]) for x in want]
+
+    # the largest first: what one giant takes from a split is made up by all smaller bundles at once
+    out = [[0] * k for _ in bundles]
+    for i in sorted(range(len(bundles)), key=lambda i: (-vec[i][0], i)):
+        n = bundles[i][3]
+        out[i] = [int(n * p) for p in part(i)]
+        for s, given in enumerate(out[i]):
+            add(i, s, given)
+        for _ in range(n - sum(out[i])):
+            s = min(range(k), key=lambda s: (delta(i, s, 1), s))
+            out[i][s] += 1
+            add(i, s, 1)
     by_size = sorted(range(len(bundles)), key=lambda i: (-vec[i][0], i))
     for _ in range(20):  # cancel negative cycles until none is left
         changed = False

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 from datetime import date, timedelta
 
@@ -95,6 +96,18 @@ def test_flow_meets_quotas():
     assert abs(size[0] - 1044) <= 2 and abs(size[1] - 130.5) <= 2
 
 
+def test_flow_with_a_giant():
+    bundles = [(200_000, 140_000, 0, 1), (1, 0, 0, 300_000), (0, 1, 0, 320_000), (3, 2, 0, 9_000), (0, 0, 1, 7)]
+    began = time.time()
+    got = flow(bundles, [0.8, 0.1, 0.1])
+    assert time.time() - began < 5 and [sum(x) for x in got] == [b[3] for b in bundles]
+    whole = sum(sum(b[:3]) * b[3] for b in bundles)
+    for s, p in enumerate((0.8, 0.1, 0.1)):
+        rows = sum(n[s] * sum(b[:3]) for n, b in zip(got, bundles))
+        fire = sum(n[s] * b[0] for n, b in zip(got, bundles))
+        assert abs(rows - p * whole) < 5 and abs(fire - p * 527_000) < 5
+
+
 def test_overlap_against_brute_force(spark):
     rng = random.Random(2)
     rows = [label(i, rng.choice(["train", "val", "test", "x"]), row=rng.choice([1, 2, 3, 5, None]), col=rng.randint(1, 4), day=rng.choice([None, *(D + timedelta(k) for k in range(4))]), aoi=rng.choice([1, 2])) for i in range(150)]
