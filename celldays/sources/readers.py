@@ -64,6 +64,18 @@ def unpivot_bands(df: DataFrame, keys: list[str], nodata: float | None = None) -
     return t if nodata is None else t.withColumn("value", F.nullif("value", F.lit(nodata)))
 
 
+def discovered(df: DataFrame, name: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Rows of the stores asked for: names with a leading underscore are never stores."""
+    df = df.where(~F.col(name).startswith("_"))
+    df = df.where(F.col(name).isin(include)) if include else df
+    return df.where(~F.col(name).isin(exclude)) if exclude else df
+
+
+def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Manifests and summaries under an explicit schema."""
+    return spark.read.schema(ddl).json(path)
+
+
 def flatten_cube(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Three nested arrays as rows (keys, row, col, channel, value)."""
     t = df.select(*keys, F.posexplode(name).alias("row", "_r"))
