@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from celldays.functions.reading import in_range
+from celldays.session import cut
 
 CELL = ["aoi_id", "row", "col"]
 SAMPLE = ["aoi_id", "target_date", "row", "col"]
@@ -111,7 +112,7 @@ def numeric_fills(features: DataFrame, catalog: DataFrame, columns: list[str], m
 
 def fill(features: DataFrame, catalog: DataFrame, columns: list[str], **limits: int) -> DataFrame:
     """(feat_id, column_name, filled, method, distance): one row per value filled, numerics and window_id alike."""
-    windows = fill_windows(features)
+    windows = cut(fill_windows(features))  # a few rows that three later joins would each compute again
     named = windows.select("feat_id", F.lit("window_id").alias("column_name"), F.col("window_id").cast("double").alias("filled"), "method", F.col("distance").cast("int").alias("distance"))
     known = features.where(~_gone(F.col("window_id"))).select("feat_id", *SAMPLE, "window_id", *columns)
     lost = features.where(_gone(F.col("window_id"))).select("feat_id", *columns).join(windows.select("feat_id", *SAMPLE, "window_id"), "feat_id")
