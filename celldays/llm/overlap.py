@@ -1,14 +1,17 @@
 """Records of evaluation splits that turn up again, exactly or almost, in the training split.
 
-A record's text is its key, and its words are the adjacent pairs of values per dimension: day x has the words (x-1, x)
-and (x, x+1), likewise row and col. An n-gram joins the area with one word of each dimension, so a record has 8 of them,
-and two records of one area share an n-gram exactly if their days, rows and cols differ by at most 1 each. Hashes of the
-evaluation n-grams are partitioned, the training side is scanned for hits, and hits / 8 is the containment of the
-evaluation record in the training record: 1 for equal keys, halved by every dimension that is off by one.
+A record's text is its key. Its words in one dimension are the adjacent pairs of values (x-1, x) and (x, x+1), so records
+whose values differ by at most 1 share a word; an n-gram joins the area with one word of each of the three dimensions, a record
+has 8, and containment is the share of the evaluation record's n-grams that the training record has: 1 for equal keys,
+halved by every dimension that is off by one.
 
-Both sides are reduced to distinct keys before the join, so an n-gram meets at most 8 keys of either side however often
-a key is repeated; pairs of keys are expanded to pairs of rows last, the training rows salted. Hits are verified on the
-keys themselves, so hash collisions add nothing.
+For the search, words are hashed by pairs of values (2k, 2k+1): a training record has one such n-gram hash, an evaluation
+record the 8 that its own words touch. The evaluation hashes are partitioned, training is scanned once for hits, and each
+pair meets in exactly one hash. Hits are verified on the keys, so neither collisions nor the coarser pairs add
+anything, and every pair that shares an n-gram is among the hits.
+
+Both sides are reduced to distinct keys before the join, so a hash meets at most 8 training and 64 evaluation keys however
+often a key is repeated; pairs of keys are expanded to pairs of rows last, the training rows salted.
 
 Rows of no split, without label_id or with a null key part don't count. Repeated rows give one pair each. Empty tables give no rows.
 Extra columns are ignored.
@@ -31,20 +34,29 @@ def records(labels: DataFrame) -> DataFrame:
     return rows.select("label_id", "source_file", "split", "aoi_id", F.unix_date("target_date").alias("day"), "row", "col")
 
 
-def grams(keys: DataFrame, side: str) -> DataFrame:
-    """The 8 n-gram hashes of each distinct key."""
-    words = [F.array(F.col(c).cast("long"), F.col(c).cast("long") + 1) for c in DIMS]
-    g = F.flatten(F.transform(words[0], lambda d: F.flatten(F.transform(words[1], lambda r: F.transform(words[2], lambda c: F.xxhash64(F.col("aoi_id"), d, r, c))))))
-    return keys.select("aoi_id", F.struct(*DIMS).alias(side), F.explode(g).alias("gram"))
+def _block(c, move: int = 0):
+    return F.floor((F.col(c).cast("long") + move) / 2)
+
+
+def scanned(keys: DataFrame) -> DataFrame:
+    """The one n-gram hash of each training key."""
+    return keys.select("aoi_id", F.struct(*DIMS).alias("t"), F.xxhash64("aoi_id", *(_block(c) for c in DIMS)).alias("gram"))
+
+
+def probing(keys: DataFrame) -> DataFrame:
+    """The 8 n-gram hashes that the words of each evaluation key touch."""
+    w = [F.array(_block(c, -1), _block(c, 1)) for c in DIMS]
+    g = F.flatten(F.transform(w[0], lambda d: F.flatten(F.transform(w[1], lambda r: F.transform(w[2], lambda c: F.xxhash64(F.col("aoi_id"), d, r, c))))))
+    return keys.select("aoi_id", F.struct(*DIMS).alias("e"), F.explode(g).alias("gram"))
 
 
 def key_pairs(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     """(aoi_id, e, t, containment) of keys, both sides distinct."""
-    hits = grams(evaluation, "e").join(grams(training, "t"), ["aoi_id", "gram"]).groupBy("aoi_id", "e", "t").agg(F.count(F.lit(1)).alias("hits"))
-    near = F.lit(True)
-    for c in DIMS:
-        near = near & (F.abs(F.col(f"e.{c}") - F.col(f"t.{c}")) <= 1)
-    return hits.where(near).select("aoi_id", "e", "t", (F.col("hits") / 8).alias("containment"))
+    hits = probing(evaluation).join(scanned(training), ["aoi_id", "gram"])
+    off = [F.abs(F.col(f"e.{c}") - F.col(f"t.{c}")) for c in DIMS]
+    near = (off[0] <= 1) & (off[1] <= 1) & (off[2] <= 1)
+    shared = (2 - off[0]) * (2 - off[1]) * (2 - off[2])
+    return hits.where(near).select("aoi_id", "e", "t", (shared / 8).alias("containment"))
 
 
 def overlaps(labels: DataFrame) -> DataFrame:
