@@ -31,7 +31,9 @@ _NEG = f"""with {CUBE}, {TRAIL(1)}, z as (select day, "row", col, greatest(w1, w
 
 
 def negative_rows(s, d):
-    t = trailing(cube(s, d), "fire", ["row", "col"], "day", 16).where("w1 + w2 + w3 + w4 is not null and day between date'1996-03-01' and date'1996-04-30'")
+    # only the days asked for and their history enter the windows
+    near = cube(s, d).where("day between date_sub(date'1996-03-01', 64) and date'1996-04-30'")
+    t = trailing(near, "fire", ["row", "col"], "day", 16).where("w1 + w2 + w3 + w4 is not null and day between date'1996-03-01' and date'1996-04-30'")
     z = t.where("fire = 0").select("day", "row", "col", F.greatest("w1", "w2", "w3", "w4").alias("history"))
     return negatives(z, cell_days(s, d).where("fire = 1").select("day", "row", "col"))
 
