@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from celldays.operators.sampling import first_by_hash, quotas, redistribute
+from celldays.operators.sampling import first_by_hash, order_hash, quotas, redistribute
 from celldays.operators.spatial import nearest_event_distance
 from celldays.operators.windows import pattern_class, trailing
 
@@ -33,17 +36,33 @@ def negatives(cells: DataFrame, fires: DataFrame, cell_km: float = 4.0) -> DataF
     return near.withColumn("class_name", negative_class(F.col("distance"), F.col("history"))).where("class_name is not null").withColumn("distance_km", F.col("distance") * cell_km)
 
 
-def balanced_negatives(rows: DataFrame, total: int, group: list[str], keys: list[str], seed: int = 42) -> DataFrame:
-    """total rows per group (a split, a year ..) in the fixed ratio; shortfalls are refilled from the other classes in order."""
+def balanced_negatives(rows: DataFrame, totals: dict[tuple, int], group: list[str], keys: list[str], seed: int = 42) -> DataFrame:
+    """totals[group] rows of each group (a split, a year ..) in the fixed ratio; shortfalls are refilled from the other classes in order.
+
+    What the unique rows of a group can't give is drawn again with replacement, in the ratio of the classes that have rows:
+    draw i of a class takes the row whose rank is a hash of i. A group without a negative of any class gives none.
+    """
     have: dict[tuple, dict[str, int]] = {}
     for r in rows.groupBy(*group, "class_name").count().collect():
         have.setdefault(tuple(r[: len(group)]), {})[r["class_name"]] = r["count"]
-    n = F.lit(0)
+    plan = []
     for g, counts in have.items():
+        total = totals.get(g, 0)
         take, _ = redistribute(quotas(total, RATIO), counts, REFILL)
-        here = F.lit(True)
-        for c, v in zip(group, g, strict=True):
-            here = here & F.col(c).eqNullSafe(F.lit(v))
-        for name, k in take.items():
-            n = F.when(here & (F.col("class_name") == name), F.lit(k)).otherwise(n)
-    return first_by_hash(rows, [*group, "class_name"], n, keys, seed)
+        able = {c: w for c, w in RATIO.items() if counts.get(c, 0)}
+        again = quotas(total - sum(take.values()), able) if able else {}
+        plan += [(*g, c, take[c], again.get(c, 0), counts.get(c, 0)) for c in RATIO]
+    schema = StructType([*(rows.schema[c] for c in group), *(StructField(c, t) for c, t in (("class_name", StringType()), ("_take", LongType()), ("_again", LongType()), ("_have", LongType())))])
+    by = [*group, "class_name"]
+    p = rows.sparkSession.createDataFrame(plan, schema).select(*(F.col(c).alias(f"_{c}") for c in by), "_take", "_again", "_have")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    planned = rows.join(F.broadcast(p.select(*(f"_{c}" for c in by), "_take")), same).select(*rows.columns, "_take")
+    unique = first_by_hash(planned, by, F.col("_take"), keys, seed, "_rank")
+    # where rows are drawn again, all rows of the group are taken, so that the ranks run from 1 to _have
+    block = 10_000
+    draws = p.where("_again > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_again - 1) div {block}"))))
+    draws = draws.withColumn("_draw", F.explode(F.sequence(F.col("_b") * block, F.least(F.col("_again") - 1, F.col("_b") * block + block - 1))))
+    hashed = F.conv(F.substring(order_hash([*(f"_{c}" for c in by), "_draw"], seed), 1, 15), 16, 10).cast("long")
+    draws = draws.select(*(f"_{c}" for c in by), (F.pmod(hashed, F.col("_have")) + 1).alias("_place"))
+    repeated = unique.join(draws, same & (F.col("_rank") == F.col("_place")))
+    return unique.select(*rows.columns).unionByName(repeated.select(*(F.col(c) for c in rows.columns)))

@@ -19,8 +19,8 @@ def unit(hashed: Column) -> Column:
     return (F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") + 0.5) / float(2**32)
 
 
-def first_by_hash(df: DataFrame, group: list[str], n: Column | int, keys: list[str], seed: int = 42) -> DataFrame:
-    """The n rows of each group with the least hash (n a number or a column of the group), all where it has fewer.
+def first_by_hash(df: DataFrame, group: list[str], n: Column | int, keys: list[str], seed: int = 42, place: str | None = None) -> DataFrame:
+    """The n rows of each group with the least hash (n a number or a column of the group), all where it has fewer; ``place`` names their rank from 1.
 
     A histogram of hash ranges finds the range of the cutoff; ranges below it are taken whole, and only that range is
     ranked, so no group is sorted in one task.
@@ -34,7 +34,8 @@ def first_by_hash(df: DataFrame, group: list[str], n: Column | int, keys: list[s
     placed = h.join(counts.withColumn("_before", end - F.col("c")).drop("c"), ["_g", "_r"])
     whole = placed.where(F.col("_before") < F.col("_n"))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_g", "_r").orderBy("_h", *keys))
-    return whole.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_n")).drop("_h", "_r", "_n", "_g", "_before", "_rank")
+    taken = whole.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_n")).drop("_h", "_r", "_n", "_g", "_before")
+    return taken.withColumnRenamed("_rank", place) if place else taken.drop("_rank")
 
 
 def weighted_key(weight: Column, hashed: Column) -> Column:

@@ -15,7 +15,7 @@ from celldays.operators.splits import assign_summers, choose_val_years, ratio_sp
 from celldays.plans.base import Registry, cell_days, features
 from celldays.plans.sampling import H, K, KEY, _U
 from celldays.plans.windows import CUBE, CURRENT, PATTERN, TRAIL, cube, current, trailing
-from celldays.session import table
+from celldays.session import cut, table
 
 q = Registry()
 
@@ -31,9 +31,7 @@ _NEG = f"""with {CUBE}, {TRAIL(1)}, z as (select day, "row", col, greatest(w1, w
 
 
 def negative_rows(s, d):
-    # only the days asked for and their history enter the windows
-    near = cube(s, d).where("day between date_sub(date'1996-03-01', 64) and date'1996-04-30'")
-    t = trailing(near, "fire", ["row", "col"], "day", 16).where("w1 + w2 + w3 + w4 is not null and day between date'1996-03-01' and date'1996-04-30'")
+    t = trailing(cube(s, d), "fire", ["row", "col"], "day", 16).where("w1 + w2 + w3 + w4 is not null")
     z = t.where("fire = 0").select("day", "row", "col", F.greatest("w1", "w2", "w3", "w4").alias("history"))
     return negatives(z, cell_days(s, d).where("fire = 1").select("day", "row", "col"))
 
@@ -46,8 +44,9 @@ def _(s, d):
 
 @q("c03_balanced_negatives")
 def _(s, d):
-    n = negative_rows(s, d).withColumn("month", F.month("day"))
-    return balanced_negatives(n, 60, ["month"], ["day", "row", "col"]).select("month", "day", "row", "col", "class_name")
+    n = cut(negative_rows(s, d).withColumn("month", F.month("day")))
+    fires = cell_days(s, d).where("fire = 1").groupBy(F.month("day").alias("month")).count().collect()
+    return balanced_negatives(n, {(r["month"],): r["count"] for r in fires}, ["month"], ["day", "row", "col"]).select("month", "day", "row", "col", "class_name")
 
 
 RANGES = {"train": (date(2012, 1, 1), date(2019, 12, 31)), "val": (date(2020, 1, 1), date(2021, 12, 31)), "test": (date(2022, 1, 1), date(2024, 12, 31))}
