@@ -25,8 +25,8 @@ def history_patterns(cube: DataFrame, window_days: int = 16, threshold: int = 3)
 
 
 def negative_class(distance: Column, history: Column) -> Column:
-    """0A: (1, 5] without history; 0B: (1, 5] with; 0C: (5, 10] with; 0D: beyond 10 (a null distance); null for the gaps between."""
-    return F.when(distance.isNull(), "0D").when((distance > 1) & (distance <= 5), F.when(history == 0, "0A").otherwise("0B")).when((distance > 5) & (distance <= 10) & (history == 1), "0C")
+    """0A: (1, 5] without history; 0B: (1, 5] with; 0C: (5, 10] with; 0D: beyond 10; null for the gaps between."""
+    return F.when(distance > 10, "0D").when((distance > 1) & (distance <= 5), F.when(history == 0, "0A").otherwise("0B")).when((distance > 5) & (distance <= 10) & (history == 1), "0C")
 
 
 def negatives(cells: DataFrame, fires: DataFrame, cell_km: float = 4.0) -> DataFrame:

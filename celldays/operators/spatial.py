@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from celldays.session import cut
+
 #: order in which neighbours lend their value: W, N, E, S, NW, NE, SW, SE
 ORDER = [(0, -1), (-1, 0), (0, 1), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1)]
 
@@ -29,19 +31,28 @@ def nearest_within(left: DataFrame, right: DataFrame, x: str, y: str, limit: flo
     return left.join(best, "id", "left").select(*left.columns, *(F.col(f"m.{k}").alias(k) for k in keep), F.col("m.distance").alias("distance"))
 
 
-def nearest_event_distance(cells: DataFrame, events: DataFrame, limit: int) -> DataFrame:
-    """Distance in cells from each (day, row, col) to the nearest event of its day, null beyond ``limit``.
+def nearest_event_distance(cells: DataFrame, events: DataFrame, size: int) -> DataFrame:
+    """Exact distance in cells from each (day, row, col) to the nearest event of its day, null where the day has none.
 
-    events are reduced to distinct cells first, and buckets of ``limit`` cells keep the candidates of a row to the events
-    of 9 buckets: at most 9 limit^2 cells, whatever the table's size.
+    Rounds of buckets of ``size`` cells, doubled each time: a row meets the events of 9 buckets and is settled by an event at
+    most ``size`` away, as none nearer can lie outside them; only the rest goes on. Events are reduced to distinct cells first.
     """
-    e = events.select("day", F.col("row").alias("er"), F.col("col").alias("ec")).distinct()
-    e = e.withColumn("br", _near_buckets("er", limit)).withColumn("bc", _near_buckets("ec", limit))
-    c = cells.withColumn("br", F.floor(F.col("row") / limit)).withColumn("bc", F.floor(F.col("col") / limit))
-    d2 = (F.col("row") - F.col("er")) * (F.col("row") - F.col("er")) + (F.col("col") - F.col("ec")) * (F.col("col") - F.col("ec"))
-    best = c.join(e, ["day", "br", "bc"]).groupBy("day", "row", "col").agg(F.min(d2).alias("d2"))
-    far = F.sqrt(F.col("d2").cast("double"))
-    return cells.join(best, ["day", "row", "col"], "left").withColumn("distance", F.when(far <= limit, far)).drop("d2")
+    place = ["day", "row", "col"]
+    e = events.select("day", F.col("row").alias("er"), F.col("col").alias("ec")).dropna().distinct()
+    dr, dc = F.col("row").cast("long") - F.col("er"), F.col("col").cast("long") - F.col("ec")
+    left = cells.select(*place).dropna().distinct().join(e.select("day").distinct(), "day", "left_semi")
+    found = None
+    while True:
+        near = e.withColumn("br", _near_buckets("er", size)).withColumn("bc", _near_buckets("ec", size))
+        probe = left.withColumn("br", F.floor(F.col("row") / size)).withColumn("bc", F.floor(F.col("col") / size))
+        best = cut(probe.join(near, ["day", "br", "bc"], "left").groupBy(*place).agg(F.min(dr * dr + dc * dc).alias("d2")))
+        hit = best.where(F.col("d2") <= size * size)
+        found = hit if found is None else found.unionByName(hit)
+        left = best.where(F.coalesce(F.col("d2") > size * size, F.lit(True))).select(*place)
+        if left.isEmpty():
+            break
+        size *= 2
+    return cells.join(found, place, "left").withColumn("distance", F.sqrt(F.col("d2").cast("double"))).drop("d2")
 
 
 def gradient(df: DataFrame, value: str, keys: list[str], step: float = 1.0) -> DataFrame:

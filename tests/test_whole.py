@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 import __spark_entry__ as entry
 from celldays.operators.patterns import balanced_negatives
+from celldays.operators.spatial import nearest_event_distance
 
 
 def lines(spark, folder, rows):
@@ -70,3 +71,23 @@ def test_balanced_repeats_where_rows_are_short(spark):
     # 5 unique rows and 10 draws in the ratio 1 : 1 of the classes at hand
     assert count == {1: {"0A": 8, "0D": 7}, 2: {"0A": 5, "0B": 5, "0C": 10, "0D": 5}, None: {"0B": 4}}
     assert len({r["id"] for r in got if r["month"] == 1}) == 5 and len({r["id"] for r in got if r["month"] == 2}) == 25
+
+
+def test_distance_beyond_the_first_buckets(spark):
+    days = [date(2020, 1, 1), date(2020, 1, 2), date(2020, 1, 3)]
+    fires = {days[0]: [(0, 0), (300, 41)], days[1]: [(-7, 12)]}
+    cells = [(d, r, c) for d in days for r in range(-20, 400, 9) for c in range(0, 60, 7)]
+    t = spark.createDataFrame([*cells, (days[0], None, 3)], "day date, row int, col int")
+    e = spark.createDataFrame([(d, *f) for d, fs in fires.items() for f in fs * 2], "day date, row int, col int")
+    got = {tuple(r[:3]): r["distance"] for r in nearest_event_distance(t, e, 10).collect()}
+    want = {k: min((math.dist(k[1:], f) for f in fires.get(k[0], [])), default=None) for k in cells}
+    assert got.pop((days[0], None, 3)) is None and got.keys() == want.keys()
+    assert all(got[k] is None if v is None else math.isclose(got[k], v) for k, v in want.items())
+
+
+def test_far_negatives_keep_their_distance(spark, tmp_path):
+    folder, first, fires = grid(spark, tmp_path)
+    far = {k: v[0] for k, v in brute_negatives(first, fires).items() if v[1] == "0D"}
+    got = {(r["day"], r["row"], r["col"]): r for r in entry.queries()["c02_negative_classes"](spark, folder).where("class_name = '0D'").collect()}
+    assert far and got.keys() == far.keys()
+    assert all(math.isclose(got[k]["distance"], v, abs_tol=1e-8) and math.isclose(got[k]["distance_km"], 4 * v, abs_tol=1e-8) for k, v in far.items())
