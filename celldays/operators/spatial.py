@@ -90,27 +90,37 @@ def focal_fill(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.join(mean, place, "left").withColumn(value, F.coalesce(value, "mean")).drop("mean")
 
 
-def propagate(df: DataFrame, value: str, keys: list[str], rounds: int, cut=None) -> DataFrame:
+def propagate(df: DataFrame, value: str, keys: list[str], rounds: int | None = None) -> DataFrame:
     """Nearest propagation: in each round a missing cell takes its first known neighbour in the fixed order.
 
-    ``cut`` ends the lineage after every fourth round where many rounds are asked for.
+    Without ``rounds`` it goes on until a round fills nothing; each round then ends the lineage.
     """
     place = [*keys, "row", "col"]
-    for i in range(rounds):
+    missing, done = None, 0
+    while rounds is None or done < rounds:
+        if rounds is None:
+            df = cut(df)
+            before, missing = missing, df.where(F.col(value).isNull()).count()
+            if missing in (0, before):
+                break
         lent = offsets(df, value, keys, ORDER).groupBy(*place).agg(F.min_by("lent", "rank").alias("lent"))
         df = df.join(lent, place, "left").withColumn(value, F.coalesce(value, "lent")).drop("lent")
-        if cut and i % 4 == 3:
-            df = cut(df)
+        done += 1
     return df
 
 
 def inverse_distance_fill(df: DataFrame, value: str, keys: list[str], reach: int) -> DataFrame:
-    """Missing cells take the mean of the known cells up to ``reach`` cells away, weighted by 1 / distance^2."""
-    near = [(r, c) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1) if (r or c) and r * r + c * c <= reach * reach]
+    """Missing cells take the mean of the known cells up to ``reach`` cells away, weighted by 1 / distance^2.
+
+    Each hole goes to the 9 buckets of ``reach`` cells around its own and meets the known cells there.
+    """
     place = [*keys, "row", "col"]
-    weight = F.element_at(F.array(*(F.lit(1.0 / (r * r + c * c)) for r, c in near)), F.col("rank") + 1)
-    holes = df.where(F.col(value).isNull()).select(*place)
-    w = offsets(df, value, keys, near).join(holes, place, "left_semi").withColumn("w", weight).groupBy(*place).agg((F.sum(F.col("w") * F.col("lent")) / F.sum("w")).alias("idw"))
+    holes = df.where(F.col(value).isNull()).select(*place).withColumn("br", _near_buckets("row", reach)).withColumn("bc", _near_buckets("col", reach))
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col("row").alias("kr"), F.col("col").alias("kc"), F.col(value).alias("lent"))
+    known = known.withColumn("br", F.floor(F.col("kr") / reach)).withColumn("bc", F.floor(F.col("kc") / reach))
+    dr, dc = F.col("row").cast("long") - F.col("kr"), F.col("col").cast("long") - F.col("kc")
+    pairs = holes.join(known, [*keys, "br", "bc"]).withColumn("d2", dr * dr + dc * dc).where(F.col("d2").between(1, reach * reach)).withColumn("w", 1.0 / F.col("d2"))
+    w = pairs.groupBy(*place).agg((F.sum(F.col("w") * F.col("lent")) / F.sum("w")).alias("idw"))
     return df.join(w, place, "left").withColumn(value, F.coalesce(value, "idw")).drop("idw")
 
 
@@ -123,8 +133,8 @@ def mean_fill(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.join(mean, on, "left").withColumn(value, F.coalesce(value, "_mean", F.lit(0.0))).select(*df.columns)
 
 
-def impute(df: DataFrame, value: str, keys: list[str], reach: int = 0, rounds: int = 2) -> DataFrame:
-    """The whole chain: 3x3 mean, inverse distance (if reach > 0), nearest propagation, mean; stage names the step that filled a cell."""
+def impute(df: DataFrame, value: str, keys: list[str], reach: int = 100, rounds: int | None = None) -> DataFrame:
+    """The whole chain: 3x3 mean, inverse distance (if reach > 0), nearest propagation (until stable without ``rounds``), mean; stage names the step that filled a cell."""
     out = df.withColumn("stage", F.when(F.col(value).isNotNull(), F.lit("observed")))
     chain = [("kernel", lambda x: focal_fill(x, value, keys)), *([("distance", lambda x: inverse_distance_fill(x, value, keys, reach))] if reach else []), ("nearest", lambda x: propagate(x, value, keys, rounds)), ("mean", lambda x: mean_fill(x, value, keys))]
     for name, step in chain:

@@ -12,7 +12,7 @@ from celldays.operators.scan import hourly_codes, weather_codes
 from celldays.operators.windows import forward_fill, history_tensor, pattern_class, trailing
 from celldays.plans.aggregates import HISTORY, history
 from celldays.plans.base import CELL_DAYS, OBS, Registry, cell_days, features, obs
-from celldays.session import cut, table
+from celldays.session import table
 
 q = Registry()
 CUBE_CELLS = ["aoi_id", "row", "col"]
@@ -112,7 +112,7 @@ def _(s, d):
 
 @q("w7_nearest_propagation")
 def _(s, d):
-    return SP.propagate(holes(s, d).withColumn("value", F.when(F.col("row") % 4 == 0, F.col("value"))), "value", ["m"], 6, cut)
+    return SP.propagate(holes(s, d).withColumn("value", F.when(F.col("row") % 4 == 0, F.col("value"))), "value", ["m"])
 
 
 @q("w8_inverse_distance", f"""with {_HOLES}, k as (select a.m, a."row", a.col, sum(b.value / (dr * dr + dc * dc)) / sum(1.0 / (dr * dr + dc * dc)) as idw
@@ -127,9 +127,20 @@ def _(s, d):
     return SP.mean_fill(holes(s, d), "value", ["m"]).select("m", "row", "col", F.round("value", 6).alias("value"))
 
 
+def gaps(s, d):
+    """Mean temperatures of ten columns on every day of the period, by line group: scattered holes, 211 days without any value, one group without."""
+    o = obs(s, d)
+    first, last = o.agg(F.min("day"), F.max("day")).first()
+    days = (last - first).days + 1
+    o = o.groupBy((F.col("n") % 3).alias("m"), F.datediff("day", F.lit(first)).alias("row"), "col").agg(F.avg("temp").alias("temp"))
+    cells = s.range(3 * days * 10).select((F.col("id") % 3).cast("int").alias("m"), F.expr("id div 30").cast("int").alias("row"), (F.expr("id div 3") % 10).cast("int").alias("col"))
+    known = (F.col("m") > 0) & ~F.col("row").between(1000, 1210) & ((F.col("row") * 7 + F.col("col") * 3) % 5 > 1)
+    return cells.join(o, ["m", "row", "col"], "left").select("m", "row", "col", F.when(known, F.col("temp")).alias("value"))
+
+
 @q("w10_imputation_chain")
 def _(s, d):
-    t = SP.impute(holes(s, d), "value", ["m"])
+    t = SP.impute(gaps(s, d), "value", ["m"])
     return t.groupBy("m", "stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 

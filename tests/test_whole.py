@@ -6,7 +6,7 @@ from datetime import date, timedelta
 
 import __spark_entry__ as entry
 from celldays.operators.patterns import balanced_negatives
-from celldays.operators.spatial import nearest_event_distance
+from celldays.operators.spatial import ORDER, impute, nearest_event_distance, propagate
 
 
 def lines(spark, folder, rows):
@@ -91,3 +91,42 @@ def test_far_negatives_keep_their_distance(spark, tmp_path):
     got = {(r["day"], r["row"], r["col"]): r for r in entry.queries()["c02_negative_classes"](spark, folder).where("class_name = '0D'").collect()}
     assert far and got.keys() == far.keys()
     assert all(math.isclose(got[k]["distance"], v, abs_tol=1e-8) and math.isclose(got[k]["distance_km"], 4 * v, abs_tol=1e-8) for k, v in far.items())
+
+
+def spread_out(known, cells):
+    """Nearest propagation until stable, on dicts of places."""
+    known = dict(known)
+    while True:
+        new = {}
+        for r, c in cells - known.keys():
+            near = [known[r + a, c + b] for a, b in ORDER if (r + a, c + b) in known]
+            if near:
+                new[r, c] = near[0]
+        if not new:
+            return known
+        known |= new
+
+
+def test_propagation_until_stable(spark):
+    cells = {(r, c) for r in range(12) for c in range(3)} | {(30, 0)}
+    known = {(0, 0): 1.0, (0, 2): 2.0, (11, 1): 5.0}
+    t = spark.createDataFrame([(1, *k, known.get(k)) for k in cells], "g int, row int, col int, value double")
+    got = {(r["row"], r["col"]): r["value"] for r in propagate(t, "value", ["g"]).collect()}
+    assert got == {k: spread_out(known, cells).get(k) for k in cells} and got[30, 0] is None and got[5, 0] is not None
+
+
+def test_imputation_runs_every_stage(spark):
+    cells = {(r, 0) for r in range(20)} | {(90, 0)}
+    known = {(r, 0): float(r) for r in range(3)}
+    t = spark.createDataFrame([(1, *k, known.get(k)) for k in cells], "g int, row int, col int, value double")
+    got = {r["row"]: (r["stage"], r["value"]) for r in impute(t, "value", ["g"], reach=4).collect()}
+    assert [got[r][0] for r in (0, 3, 4, 7, 8, 19, 90)] == ["observed", "kernel", "distance", "distance", "nearest", "nearest", "mean"]
+    four = {0: 0.0, 1: 1.0, 2: 2.0, 3: 2.0}
+    assert math.isclose(got[5][1], sum(v / (5 - k) ** 2 for k, v in four.items() if 5 - k <= 4) / sum(1 / (5 - k) ** 2 for k in four if 5 - k <= 4))
+    assert got[19][1] == got[7][1] == 2.0
+    assert {"distance"} == {r["stage"] for r in impute(t.where("row < 20"), "value", ["g"]).collect() if r["row"] > 3}
+
+
+def test_registered_chain_reaches_every_stage(spark):
+    got = {r["stage"] for r in entry.queries()["w10_imputation_chain"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"observed", "kernel", "distance", "nearest", "mean"}
