@@ -43,8 +43,8 @@ def weighted_key(weight: Column, hashed: Column) -> Column:
     return F.ln(unit(hashed)) / weight
 
 
-def weighted_sample(df: DataFrame, group: list[str], n: int, weight: Column, keys: list[str], seed: int = 42) -> DataFrame:
-    """Top n of each group by weighted key, in two levels (per salt, then per group) so that no group is sorted whole."""
+def weighted_sample(df: DataFrame, group: list[str], n: Column | int, weight: Column, keys: list[str], seed: int = 42) -> DataFrame:
+    """Top n (a number or a column of the group) of each group by weighted key, in two levels (per salt, then per group) so that no group is sorted whole."""
     w = df.withColumn("_h", order_hash(keys, seed)).withColumn("_k", weighted_key(weight, F.col("_h")))
     order = [F.desc("_k"), "_h", *keys]
     part = w.withColumn("_s", F.substring("_h", 1, 2)).withColumn("_a", F.row_number().over(Window.partitionBy(*group, "_s").orderBy(*order))).where(F.col("_a") <= n)

@@ -6,11 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from celldays.functions.reading import split_of
 from celldays.operators import forecast as FC
 from celldays.operators.features import scaled, xy
 from celldays.operators.patterns import balanced_negatives, history_patterns, negatives
 from celldays.operators.quality import clean, complete_keys, nulls_for_gaps
-from celldays.operators.sampling import required_per_unit, weighted_sample
+from celldays.operators.sampling import ratio_units, required_per_unit, weighted_sample
 from celldays.operators.splits import assign_summers, choose_val_years, ratio_splits, shared_days
 from celldays.plans.base import Registry, cell_days, features
 from celldays.plans.sampling import H, K, KEY, _U
@@ -98,15 +99,20 @@ def _(s, d):
  o as (select label_id, c, w, row_number() over (partition by c order by ln({_U.format(h=H('label_id'))}) / case when month(target_date) between 6 and 9 then 2.0 else 1.0 end desc, {H('label_id')}, label_id) as place from r join w using (c)) select label_id, c as class_name from o, u where place <= w * k""")
 def _(s, d):
     unit = required_per_unit({"fire": {"FIRETYPE1": 2, "FIRETYPE5": 3, "FIRETYPE2": 2}, "nofire": {"NOFIRE0A": 1, "NOFIRE0B": 1, "NOFIRE0C": 2, "NOFIRE0D": 1}})
-    r = table(s, d, "labels_combined").where("target_date is not null").select("label_id", F.regexp_replace(F.upper("type_class"), "[^A-Z0-9]", "").alias("class_name"), "target_date")
-    have = {x[0]: x[1] for x in r.where(F.col("class_name").isin(list(unit))).groupBy("class_name").count().collect()}
-    k = min(have.get(c, 0) // w for c, w in unit.items())
-    weight = F.when(F.month("target_date").between(6, 9), 2.0).otherwise(1.0)
-    parts = [weighted_sample(r.where(F.col("class_name") == c), ["class_name"], w * k, weight, ["label_id"]) for c, w in unit.items() if k]
-    out = parts[0] if parts else r.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("label_id", "class_name")
+    r = table(s, d, "labels_combined").where("target_date is not null").select("label_id", split_of("split").alias("split"), F.regexp_replace(F.upper("type_class"), "[^A-Z0-9]", "").alias("class_name"), "target_date").where("split is not null")
+    have: dict[str, dict[str, int]] = {}
+    for x in r.groupBy("split", "class_name").count().collect():
+        have.setdefault(x["split"], {})[x["class_name"]] = x["count"]
+    k = {split: ratio_units(counts, unit) for split, counts in have.items()}
+    # a split that lacks a class keeps its rows unbalanced
+    out = r.where(F.col("split").isin([split for split, n in k.items() if not n]))
+    take = {(split, c): w * n for split, n in k.items() if n for c, w in unit.items()}
+    if take:
+        n = F.coalesce(*(F.when((F.col("split") == split) & (F.col("class_name") == c), F.lit(m)) for (split, c), m in take.items()))
+        weight = F.when((F.col("split") == "train") & F.month("target_date").between(6, 9), 2.0).otherwise(1.0)  # summers count in train only
+        balanced = weighted_sample(r.withColumn("_n", n).where("_n is not null"), ["split", "class_name"], F.col("_n"), weight, ["label_id"])
+        out = out.unionByName(balanced.drop("_n"))
+    return out.select("split", "label_id", "class_name")
 
 
 _G = lambda c: f"({c} is null or isnan({c}) or isinf({c}))"

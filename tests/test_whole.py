@@ -130,3 +130,17 @@ def test_imputation_runs_every_stage(spark):
 def test_registered_chain_reaches_every_stage(spark):
     got = {r["stage"] for r in entry.queries()["w10_imputation_chain"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {"observed", "kernel", "distance", "nearest", "mean"}
+
+
+def test_rebalanced_in_each_split(spark, tmp_path):
+    weights = {"FireType-1": 10, "FireType-5": 15, "FireType-2": 10, "NoFire-0A": 7, "NoFire-0B": 7, "NoFire-0C": 14, "NoFire-0D": 7}
+    rows = [(split, c) for split, k in ((" Train", 2), ("val", 1)) for c, w in weights.items() for _ in range(w * k + 3)]
+    rows += [("TEST", "NoFire-0A")] * 5 + [("test", "Fire Type 1")] * 2 + [("test", None), ("other", "NoFire-0A"), (None, "NoFire-0B")]
+    data = [(i, c, split, date(2020, 1 + i % 12, 1)) for i, (split, c) in enumerate(rows)]
+    spark.createDataFrame(data, "label_id long, type_class string, split string, target_date date").write.parquet(f"{tmp_path}/labels_combined.parquet")
+    got = entry.queries()["c06_rebalanced"](spark, str(tmp_path)).collect()
+    name = lambda c: c and c.upper().replace("-", "").replace(" ", "")
+    count = Counter((r["split"], r["class_name"]) for r in got)
+    want = {(split, name(c)): w * k for split, k in (("train", 2), ("val", 1)) for c, w in weights.items()}
+    assert count == want | {("test", "NOFIRE0A"): 5, ("test", "FIRETYPE1"): 2, ("test", None): 1}
+    assert len({r["label_id"] for r in got}) == len(got)
