@@ -52,7 +52,7 @@ def _(s, d):
  select z."row", z.col, z.day, case when dist <= 10 then round(dist, 9) end as distance from z left join m using (day, "row", col)""")
 def _(s, d):
     c = cell_days(s, d)
-    z = c.where("fire = 0 and day < date'1996-01-01'").select("day", "row", "col")
+    z = c.where("fire = 0").select("day", "row", "col")
     return nearest_event_distance(z, c.where("fire = 1"), 10).select("row", "col", "day", F.round("distance", 9).alias("distance"))
 
 
@@ -79,7 +79,7 @@ def _(s, d):
 
 @q("j11_one_to_many", f"select f.feat_id, l.label_id from labels_combined l join features_train f using ({K}) where l.label = 1 and l.source_file <> 'labels_redelivery.csv'")
 def _(s, d):
-    y = table(s, d, "labels_combined").where("label = 1 and source_file <> 'labels_redelivery.csv'").select("label_id", *KEY)
+    y = table(s, d, "labels_combined").where("label = 1").select("label_id", *KEY)
     return features(s, d).select("feat_id", *KEY).join(y, KEY).select("feat_id", "label_id")
 
 
@@ -87,7 +87,7 @@ def _(s, d):
  select sa."row", sa.col, target_date, ((target_date - day - 1) // 16 + 1)::int as window_id, count(*) as n, round(avg(temp), 6) as temp from sa join cd on cd."row" = sa."row" and cd.col = sa.col and target_date - day between 1 and 64 group by all""")
 def _(s, d):
     c = cell_days(s, d)
-    sa = c.where("fire = 1 and day between date'1996-06-01' and date'1996-06-10'").select("row", "col", F.col("day").alias("target_date"))
+    sa = c.where("fire = 1").select("row", "col", F.col("day").alias("target_date"))
     w = window_ids(sa, c.select("row", "col", "day", "temp"), ["row", "col"], 16)
     return w.groupBy("row", "col", "target_date", "window_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("temp"), 6).alias("temp"))
 

@@ -144,3 +144,17 @@ def test_rebalanced_in_each_split(spark, tmp_path):
     want = {(split, name(c)): w * k for split, k in (("train", 2), ("val", 1)) for c, w in weights.items()}
     assert count == want | {("test", "NOFIRE0A"): 5, ("test", "FIRETYPE1"): 2, ("test", None): 1}
     assert len({r["label_id"] for r in got}) == len(got)
+
+
+def test_joins_over_all_rows(spark, tmp_path):
+    day = lambda k: date(1998, 3, 1) + timedelta(k)
+    folder = lines(spark, tmp_path, [(0, 0, day(0), 1), (0, 3, day(0), 0), (40, 0, day(0), 0), (0, 0, day(-1), 0), (0, 0, day(-17), 0), (0, 0, day(-64), 0), (0, 0, day(-65), 0)])
+    got = {(r["row"], r["col"], r["day"]): r["distance"] for r in entry.queries()["j05_event_distance"](spark, folder).collect()}
+    assert got == {(0, 3, day(0)): 3.0, (40, 0, day(0)): 40.0} | {(0, 0, day(-k)): None for k in (1, 17, 64, 65)}
+    w = {(r["target_date"], r["window_id"]): r["n"] for r in entry.queries()["j12_interval"](spark, folder).collect()}
+    assert w == {(day(0), 1): 1, (day(0), 2): 1, (day(0), 4): 1}
+    key = (1, day(0), 2, 3)
+    labels = [(1, *key, 1, "labels_redelivery.csv"), (2, *key, 1, None), (3, *key, 1, "labels.csv"), (4, *key, 0, "labels.csv")]
+    spark.createDataFrame(labels, "label_id long, aoi_id int, target_date date, row int, col int, label int, source_file string").write.parquet(f"{folder}/labels_combined.parquet")
+    spark.createDataFrame([(7, *key), (8, *key), (9, 2, *key[1:])], "feat_id long, aoi_id int, target_date date, row int, col int").write.parquet(f"{folder}/features_train.parquet")
+    assert {tuple(r) for r in entry.queries()["j11_one_to_many"](spark, folder).collect()} == {(f, y) for f in (7, 8) for y in (1, 2, 3)}
