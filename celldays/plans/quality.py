@@ -21,7 +21,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    return _profile(spark, d, OTHER_COLUMNS)
+    p = _profile(spark, d, OTHER_COLUMNS)
+    return p.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in p.dtypes))
 
 
 def _fill(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +44,50 @@ def p5_methods(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p5_found, p5_filled, p5_methods)}
 
 _LONG = " union all ".join(f"select load_id, '{c}' as column_name, {c}::double as v from features_train" for c in FEATURES)
+_TEXT = " union all ".join(f"select load_id, '{c}' as column_name, {c}::varchar as v from features_train where load_id is not null" for c in ("aoi_id", "target_date", '"row"', "col", "window_id", "split", "source_file", "loaded_at", "sample_key")).replace("'\"row\"'", "'row'")
+
+
+def _coarse(x: str) -> str:
+    for a, b in (("[A-Z]", "A"), ("[a-z]", "a"), ("[0-9]", "9"), ("A+", "A"), ("a+", "a"), ("9+", "9")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return x
+
+
+_HEAD = r"regexp_extract(try_cast(v as decimal(38, 6))::varchar, '^-?[0.]*(?:[0-9]\.?){0,3}')"
+_FINE = f"case when gone then null when ok then {_HEAD} || regexp_replace(substr(try_cast(v as decimal(38, 6))::varchar, length({_HEAD}) + 1), '[0-9]', '9', 'g') when v < lo then '<' else '>' end"
 SQL = {
+    "p2_profile": f"""
+with long as ({_LONG}),
+ v as (select l.load_id, l.column_name, case when isnan(l.v) then null else l.v end as v, c.valid_min as lo, (v is null or isnan(v)) as gone,
+   coalesce(not isnan(v) and not isinf(v) and v >= c.valid_min and v <= c.valid_max, false) as ok
+   from long l join feature_catalog c on c.feature = l.column_name where l.load_id is not null),
+ nc as (select load_id, column_name, v, {_FINE} as mask, gone, ok, count(*) as n from v group by all),
+ num as (select load_id, column_name, sum(n) as n_rows, sum(n) filter (where not gone) as n_values, coalesce(sum(n) filter (where ok), 0) as n_inside, max(n) filter (where ok) as n_mode, count(v) as distinct_values, min(v) as min_number, max(v) as max_number from nc group by all),
+ qu as (select load_id, column_name, quantile_cont(v, 0.25) filter (where ok) as p25, quantile_cont(v, 0.5) filter (where ok) as p50, quantile_cont(v, 0.75) filter (where ok) as p75 from v group by all),
+ text as ({_TEXT}),
+ k as (select load_id, sample_key as v, sample_key is not distinct from (strftime(target_date, '%Y-%m-%d') || '_' || "row" || '_' || col) as usual,
+   list_transform(string_split(sample_key, '_'), lambda x, i: case when i = 1 and x = strftime(target_date, '%Y-%m-%d') then 'D' when i = 2 and x = "row"::varchar then 'R' when i = 3 and x = col::varchar then 'C' else {_coarse('x')} end) as parts from features_train where load_id is not null),
+ tx as (select load_id, column_name, count(*) as n_rows, count(v) as n_values, count(distinct v) as distinct_values, min(v) as min_value, max(v) as max_value from text group by all),
+ bad as (select load_id, 'sample_key' as column_name, count(*) filter (where not usual) as n_bad from k group by all),
+ m as (select load_id, column_name, mask, sum(n) as n from nc group by all
+   union all select load_id, 'sample_key', case when v is not null then case when len(parts) = 3 then array_to_string(parts, '_') else {_coarse('v')} end end, count(*) from k group by all
+   union all select load_id, column_name, {_coarse('v')}, count(*) from text where column_name <> 'sample_key' group by all),
+ co as (select load_id, column_name, {_coarse('mask')} as mask, sum(n) as n from m where mask is not null group by all),
+ cs as (select *, n / sum(n) over (partition by load_id, column_name) as share from co),
+ pt as (select load_id, column_name, arg_max(mask, (n, mask)) as top_mask, coalesce(sum(share) filter (where share < 0.05), 0) as rare_mask_share from cs group by all),
+ sh as (select load_id, column_name, coalesce(mask, 'null') as mask, n / sum(n) over (partition by load_id, column_name) as s from m),
+ b as (select load_id, min(baseline_load_id) as baseline_load_id from load_log group by all),
+ every as (select l.load_id, l.column_name, l.mask, l.s as p, 0.0 as q from sh l join b using (load_id) where baseline_load_id is not null
+   union all select o.load_id, o.column_name, r.mask, 0.0, r.s from (select distinct load_id, column_name from sh) o join b on b.load_id = o.load_id join sh r on r.load_id = b.baseline_load_id and r.column_name = o.column_name),
+ pq as (select load_id, column_name, mask, sum(p) as p, sum(q) as q from every group by all),
+ dv as (select load_id, column_name, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end / 2 + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end / 2) as mask_divergence from pq group by all),
+ a as (select load_id, column_name, n_rows, n_values, n_inside, n_mode, distinct_values, min_number, max_number, p25, p50, p75, null::varchar as min_value, null::varchar as max_value, null::bigint as n_bad from num join qu using (load_id, column_name)
+   union all select load_id, column_name, n_rows, n_values, null, null, distinct_values, null, null, null, null, null, min_value, max_value, n_bad from tx left join bad using (load_id, column_name))
+select load_id, column_name, baseline_load_id, n_rows::bigint as n_rows, round(1 - n_values / n_rows, 6) as missing_share, distinct_values, round(min_number, 6) as min_number, round(max_number, 6) as max_number, min_value, max_value,
+ round(p25, 6) as p25, round(p50, 6) as p50, round(p75, 6) as p75, round((n_values - n_inside) / nullif(n_values, 0), 6) as outside_share, round(n_mode / nullif(n_inside, 0), 6) as mode_share, round(n_bad / n_rows, 6) as bad_share,
+ top_mask, round(rare_mask_share, 6) as rare_mask_share, round(mask_divergence, 6) as mask_divergence, (n_rows - n_values)::bigint as n_missing
+from a left join pt using (load_id, column_name) left join dv using (load_id, column_name) left join b using (load_id)
+""",
     "p2_found": f"""
 with long as ({_LONG}),
  v as (select l.load_id, l.column_name, l.v, (v is null or isnan(v)) as gone,

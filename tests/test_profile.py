@@ -2,6 +2,7 @@ from datetime import date
 
 import numpy as np
 
+from celldays.operators import profile
 from celldays.operators.profile import findings, mask_of, profile_loads
 from pyspark.sql import functions as F
 
@@ -46,3 +47,38 @@ def test_null_keys_are_violations(spark):
     rows = [row(1, 1.0, 1.0, None), (1, 1, None, 3, 4, 1, "2020-01-02_3_4", 1.0, 1.0)]
     p = {r["column_name"]: r for r in tables(spark, rows).collect()}
     assert p["sample_key"]["bad_share"] == 1.0
+
+
+def test_fine_masks_are_intervals(spark):
+    x = sorted({round(s * m * 10.0**e, 9) for s in (1, -1) for m in (0, 1, 1.004, 1.01, 1.2, 3.14159, 9.99, 9.996) for e in range(-7, 5)} | {199999.0, 200000.0, float("inf"), float("-inf")})
+    df = spark.createDataFrame([(v,) for v in [*x, None]], "v double")
+    got = {r[0]: r[1] for r in df.select("v", profile.number_mask(F.col("v"), F.lit(-1e5), F.lit(2e5))).collect()}
+    assert got[None] is None and got[float("inf")] == ">"
+    assert got[200000.0] == "200999.999999" and got[-9.99] == "-9.999999" and got[0.00314159] == "0.003149" and got[float("-inf")] == "<"
+    inside = [got[v] for v in x if -1e5 <= v <= 2e5]
+    runs = [m for i, m in enumerate(inside) if not i or inside[i - 1] != m]
+    assert len(runs) == len(set(runs))  # a mask never comes back: the masks are ordered as their values
+
+
+def test_key_masks_name_the_own_parts(spark):
+    rows = [("2020-01-02_3_4", D, 3, 4), ("2020-01-03_3_4", D, 3, 4), ("2020-01-02_03_4", D, 3, 4), ("2020-01-02_3_4_", D, 3, 4), ("D_R_C", D, 3, 4), ("2020-01-02_3_4", D, None, 4), ("2020-01-02_-3_4", D, -3, 4), (None, D, 3, 4)]
+    df = spark.createDataFrame(rows, "k string, target_date date, row int, col int")
+    assert [r[0] for r in df.select(profile.key_mask(F.col("k"))).collect()] == ["D_R_C", "9-9-9_R_C", "D_9_C", "9-9-9_9_9_", "A_A_A", "D_9_C", "D_R_C", None]
+
+
+def test_findings_come_from_the_masks(spark, monkeypatch):
+    rows = [row(1, float(x), 5.0) for x in range(100)] + [row(2, float(x + 60) if x % 5 else None, 5.0, "bad" if x % 10 == 0 else "2020-01-02_3_4") for x in range(40)]
+    full = {("aet", "missing"), ("aet", "shift"), ("sample_key", "pattern")}
+    found = lambda: {tuple(r)[1:] for r in findings(tables(spark, rows)).collect()}
+    assert found() == full
+    plan = findings(tables(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "log2" in plan.lower() and "translate(" in plan and "regexp_replace" in plan
+    with monkeypatch.context() as m:  # masks that tell nothing
+        m.setattr(profile, "key_mask", lambda k: F.lit("D_R_C"))
+        assert found() == full - {("sample_key", "pattern")}
+    with monkeypatch.context() as m:
+        m.setattr(profile, "divergences", lambda masks, base: masks.select("load_id", "column_name").distinct().withColumn("mask_divergence", F.lit(0.0)))
+        assert found() == full - {("aet", "missing")}
+    with monkeypatch.context() as m:
+        m.setattr(profile, "number_mask", lambda v, low, high: F.when(v.isNotNull(), F.lit("<")))
+        assert ("aet", "shift") not in found() and ("aet", "range") in found()
