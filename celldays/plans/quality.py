@@ -34,7 +34,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_filled(spark: SparkSession, d: str) -> DataFrame:
-    return _fill(spark, d)
+    return _fill(spark, d).withColumn("filled", F.round("filled", 5))
 
 
 def p5_methods(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,55 @@ def _coarse(x: str) -> str:
 
 _HEAD = r"regexp_extract(try_cast(v as decimal(38, 6))::varchar, '^-?[0.]*(?:[0-9]\.?){0,3}')"
 _FINE = f"case when gone then null when ok then {_HEAD} || regexp_replace(substr(try_cast(v as decimal(38, 6))::varchar, length({_HEAD}) + 1), '[0-9]', '9', 'g') when v < lo then '<' else '>' end"
+def _good(c: str) -> str:
+    return f"case when not isnan({c}) and not isinf({c}) and {c} >= (select valid_min from feature_catalog where feature = '{c}') and {c} <= (select valid_max from feature_catalog where feature = '{c}') then {c}::double end"
+
+
+_KEY = "aoi_id, target_date, r, c"
+
+
+def _beside(c: str) -> str:
+    before, after = "rows between unbounded preceding and 1 preceding", "rows between 1 following and unbounded following"
+    over = lambda f, v, rows: f"{f}({v} ignore nulls) over (partition by aoi_id, r, c order by day {rows})"
+    day = f"case when {c} is not null then day end"
+    return f"{over('last_value', c, before)} as p_{c}, day - {over('last_value', day, before)} as dp_{c}, {over('first_value', c, after)} as n_{c}, {over('first_value', day, after)} - day as dn_{c}"
+
+
+def _one(c: str) -> str:
+    line = f"p_{c} + (n_{c} - p_{c}) * dp_{c} / (dp_{c} + dn_{c})"
+    steps = (("same_time", f"b.{c}", "0"), ("interpolated", line, f"least(dp_{c}, dn_{c})"), ("carried", f"case when dp_{c} <= 64 then p_{c} end", f"dp_{c}"), ("carried", f"case when dn_{c} <= 64 then n_{c} end", f"dn_{c}"), ("area_month", f"am_{c}", "null"), ("area", f"a_{c}", "null"), ("month", f"m_{c}", "null"), ("all", f"t_{c}", "null"))
+    pick = lambda k: "case " + " ".join(f"when {s[1]} is not null then {s[k] if k else chr(39) + s[0] + chr(39)}" for s in steps)
+    return f"select feat_id, '{c}' as column_name, {pick(1)} end as filled, {pick(0)} else 'none' end as method, ({pick(2)} end)::int as distance from j b where no_{c}"
+
+
+_FILLED = f"""with f0 as (select feat_id, aoi_id, target_date, "row" as r, col as c, window_id, {_good('aet')} as aet, {_good('fwi')} as fwi, aoi_id is not null and target_date is not null and "row" is not null and col is not null as whole from features_train),
+ sm as (select {_KEY}, list(distinct window_id) filter (where window_id between 1 and 4) as seen, min(window_id) filter (where window_id between 1 and 4) as own from f0 where whole group by all),
+ sb as (select *, last_value(own ignore nulls) over b as pw, target_date - last_value(case when own is not null then target_date end ignore nulls) over b as dp, first_value(own ignore nulls) over a as nw, first_value(case when own is not null then target_date end ignore nulls) over a - target_date as dn
+   from sm window b as (partition by aoi_id, r, c order by target_date rows between unbounded preceding and 1 preceding), a as (partition by aoi_id, r, c order by target_date rows between 1 following and unbounded following)),
+ wn as (select aoi_id, window_id, count(*) as n from f0 where window_id between 1 and 4 group by all),
+ wa as (select aoi_id, arg_max(window_id, (n, -window_id)) as w from wn group by all),
+ we as (select arg_max(window_id, (n, -window_id)) as w from (select window_id, sum(n) as n from wn group by all)),
+ lost as (select *, case when whole then row_number() over (partition by {_KEY}, whole order by feat_id) end as k from f0 where (window_id is null or window_id < 1) and feat_id is not null),
+ la as (select l.*, list_filter([1, 2, 3, 4], lambda x: not list_contains(coalesce(s.seen, []), x)) as absent, own, pw, dp, nw, dn, wa.w as aw, we.w as ew
+   from lost l left join sb s using ({_KEY}) left join wa on wa.aoi_id = l.aoi_id cross join we),
+ win as (select feat_id, case when whole and k <= len(absent) then absent[k] when own is not null then own when dp <= 64 then pw when dn <= 64 then nw when aw is not null then aw else ew end as w,
+   case when whole and k <= len(absent) then 'absent' when coalesce(own, case when dp <= 64 then pw end, case when dn <= 64 then nw end) is not null then 'carry' when aw is not null then 'area' when ew is not null then 'all' else 'none' end as method,
+   case when whole and k <= len(absent) or own is not null then 0 when dp <= 64 then dp when dn <= 64 then dn end::int as distance from la),
+ rw as (select f0.*, case when window_id >= 1 then least(window_id, 4) end as w from f0),
+ td as (select rw.* exclude (w), coalesce(rw.w, win.w) as w from rw left join win using (feat_id) where feat_id is not null and (aet is null or fwi is null)),
+ t as (select *, aet is null as no_aet, fwi is null as no_fwi, (target_date - 16 * (coalesce(w, 1) - 1))::date as day from td),
+ d0 as (select aoi_id, r, c, (target_date - 16 * (w - 1))::date as day, avg(aet) as aet, avg(fwi) as fwi from rw where whole and w is not null group by all
+   union all by name select distinct aoi_id, r, c, day from t anti join (select distinct aoi_id, r, c, (target_date - 16 * (w - 1))::date as day from rw where whole and w is not null) o using (aoi_id, r, c, day) where whole),
+ s as (select *, {_beside('aet')}, {_beside('fwi')} from d0),
+ x as (select aoi_id, month(target_date - 16 * (coalesce(w, 1) - 1)) as m, aet, fwi from rw),
+ am as (select aoi_id, m, avg(aet) as am_aet, avg(fwi) as am_fwi from x group by all), ar as (select aoi_id, avg(aet) as a_aet, avg(fwi) as a_fwi from x group by all),
+ mm as (select m, avg(aet) as m_aet, avg(fwi) as m_fwi from x group by all), tt as (select avg(aet) as t_aet, avg(fwi) as t_fwi from x),
+ j as (select t.feat_id, t.no_aet, t.no_fwi, s.* exclude (aoi_id, r, c, day), am_aet, am_fwi, a_aet, a_fwi, m_aet, m_fwi, t_aet, t_fwi from t left join s using (aoi_id, r, c, day)
+   left join am on am.aoi_id is not distinct from t.aoi_id and am.m is not distinct from month(t.day) left join ar on ar.aoi_id is not distinct from t.aoi_id left join mm on mm.m is not distinct from month(t.day) cross join tt),
+ filled as (select feat_id, 'window_id' as column_name, w::double as filled, method, distance from win union all {_one('aet')} union all {_one('fwi')})"""
 SQL = {
+    "p5_filled": _FILLED + " select feat_id, column_name, round(filled, 5) as filled, method, distance from filled",
+    "p5_methods": _FILLED + " select column_name, method, count(*) as n, max(distance) as max_distance from filled group by all",
     "p2_profile": f"""
 with long as ({_LONG}),
  v as (select l.load_id, l.column_name, case when isnan(l.v) then null else l.v end as v, c.valid_min as lo, (v is null or isnan(v)) as gone,
