@@ -9,7 +9,7 @@ from celldays.llm.mixture import counted, mix
 from celldays.llm.overlap import overlap_report, overlaps
 from celldays.llm.proportions import sample_by_proportion
 from celldays.llm.sentences import sentence_units
-from celldays.llm.splits import broken_groups, grouped_split, with_components
+from celldays.llm.splits import assigned, broken_groups, grouped_split, with_components
 from celldays.llm.tokens import encode
 from celldays.session import table
 
@@ -31,7 +31,7 @@ def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return broken_groups(with_components(table(spark, d, "labels_combined")))
+    return broken_groups(assigned(with_components(table(spark, d, "labels_combined")), table(spark, d, "split_targets")))
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

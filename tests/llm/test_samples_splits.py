@@ -2,11 +2,12 @@ import random
 import time
 from collections import defaultdict
 from datetime import date, timedelta
+from itertools import permutations, product
 
 from celldays.llm.mixture import mix, rake
 from celldays.llm.overlap import overlap_report, overlaps
 from celldays.llm.proportions import allocate, apportion, sample_by_proportion
-from celldays.llm.splits import broken_groups, components, flow, grouped_split, with_components
+from celldays.llm.splits import assigned, broken_groups, class_cost, class_flow, components, deviation, flow, grouped_split, with_components
 
 import numpy as np
 
@@ -49,7 +50,7 @@ def test_sample(spark):
 
 def test_components_and_splits(spark):
     rng = random.Random(1)
-    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [(f"a{rng.randint(0, 30):02d}", f"b{rng.randint(0, 30):02d}") for _ in range(25)]
+    edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randint(0, 30), 200 + rng.randint(0, 30)) for _ in range(25)] + [(-5, -7), (3, 3)]
     parent = {}
 
     def find(x):
@@ -59,7 +60,9 @@ def test_components_and_splits(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    for n in (1, 9):  # one partition is solved by the contraction alone, many by the rounds
+        got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(n)).collect()}
+        assert all(got.get(x, x) == find(x) for x in list(parent))
     assert all(got.get(x, x) == find(x) for x in list(parent))
     rows = [label(i, rng.choice(["train", "val", "te", None]), rng.choice(["FIRETYPE1", "NOFIRE0A"]), row=rng.randint(0, 60), event=rng.choice([None, None, f"FE-{rng.randint(0, 40)}", f"fe {rng.randint(0, 40)}"])) for i in range(400)]
     rows += [label(900, "val", row=None, aoi=None), label(901, "test", row=3, lab=5, event="")]
@@ -83,12 +86,46 @@ def test_components_and_splits(spark):
             truth["cell", f"{r[1]}_{r[3]}_{r[4]}"].add(s) if r[1] is not None and r[3] is not None else None
             if r[8]:
                 truth["event", r[8].upper().replace("-", "").replace(" ", "")].add(s)
-    assert {tuple(r) for r in broken_groups(comp).collect()} == {k for k, v in truth.items() if len(v) > 1}
+    assert {tuple(r) for r in broken_groups(assigned(comp, t)).collect()} == {k for k, v in truth.items() if len(v) > 1}
     assert sum(r["n_rows"] for r in report.collect()) == len(rows)
     out, report = grouped_split(with_components(spark.createDataFrame([], LABELS)), t)
     assert out.count() == 0 and report.count() == 3
 
 
+def parts(n, k):
+    return [(n,)] if k == 1 else [(i, *r) for i in range(n + 1) for r in parts(n - i, k - 1)]
+
+
+def test_class_flow_is_the_cheapest():
+    rng = random.Random(3)
+    for _ in range(500):
+        m, k, size = rng.randint(1, 3), rng.randint(2, 3), rng.randint(1, 5)
+        n = np.array([rng.randint(1, 4) for _ in range(m)])
+        want, quota = (np.array([rng.uniform(low, high) for _ in range(k)]) for low, high in ((0, n.sum() * size), (1, 20)))
+        target = np.array([[rng.uniform(0, x) for _ in range(k)] for x in n])
+        got = class_flow(n, size, want, target, quota)
+        assert (got.sum(1) == n).all() and (got >= 0).all()
+        best = min(class_cost(np.array(y), size, want, target, quota) for y in product(*(parts(int(x), k) for x in n)))
+        assert class_cost(got, size, want, target, quota) <= best + 1e-7
+
+
+def test_no_exchange_lowers_the_deviation():
+    rng = random.Random(4)
+    for _ in range(40):
+        b = np.array([(rng.randint(0, 4), rng.randint(0, 4), rng.randint(0, 1), rng.randint(1, 3)) for _ in range(6)])
+        shares = [0.6, 0.2, 0.2]
+        out = np.array(flow([tuple(map(int, x)) for x in b], shares))
+        assert (out.sum(1) == b[:, 3]).all() and (out >= 0).all()
+        cost = deviation(out, b, shares)
+        for i, j in product(range(6), repeat=2):
+            for s, t in permutations(range(3), 2):
+                for move in ({(i, s): -1, (i, t): 1}, {(i, s): -1, (i, t): 1, (j, t): -1, (j, s): 1}):
+                    y = out.copy()
+                    for at, n in move.items():
+                        y[at] += n
+                    assert (y < 0).any() or deviation(y, b, shares) >= cost - 1e-6
+
+
 def test_flow_meets_quotas():
     got = flow([(1, 0, 0, 700), (0, 1, 0, 300), (2, 3, 0, 41), (100, 0, 0, 1)], [0.8, 0.1, 0.1])
     assert [sum(x) for x in got] == [700, 300, 41, 1]
