@@ -5,11 +5,11 @@ Within a block, scripts are treated by what they write:
 
 * Spaced scripts and scripts with end marks: every terminator is a node of a lattice with two states, end and inner.
   Its score comes from the word before (abbreviation lexicon, initials, ordinals), what follows (case, code, digit, symbol) and the
-  quotation or bracket it stands in; two ends always have a word between them. The best
-  path is taken.
-* Spaceless scripts without end marks (Thai, Lao): the text around each gap is segmented by a word lattice over a dictionary,
-  unknown stretches at a cost per letter, and the gap is classified by final particles and connectors before it and by opening
-  words or repetition marks after it, starting from the rule that a space between two such characters ends a sentence.
+  quotation or bracket it stands in, given where the sentence began; two ends always have a word between them. The best path is found by dynamic programming.
+* Spaceless scripts without end marks (Thai, Lao): the runs on both sides of a gap are segmented by a word lattice over a dictionary,
+  unknown letters at a cost, and the gap is classified: that such a gap ends a sentence is the prior, a final particle before it or an opening word
+  after it confirms, a connector before it (a word that needs a continuation, found behind a known word) or a repetition mark after it overrules. Gaps are nodes of
+  the same lattice.
 * Spaceless scripts with end marks: as the first, but what follows a closing quotation continues the sentence.
 
 Null and empty texts, null cells and cells of other types give no rows; bounds outside the text are cut to it. Repeated rows give
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,12 +47,20 @@ GERMAN_MONTHS = set("januar februar märz april mai juni juli august september o
 OPENERS = set("the a an we in on it is if what why who how when where from see read never next note let's don't there this that these those as each nobody cells values column step then our".split())
 #: names of columns that may open a sentence in lower case
 COLUMNS = set("precip wind_speed tmax tmin rh_max rh_min vpd solar_rad spec_humidity aet pdsi fm100 ffmc dmc dc isi bui fwi erc burn_idx ignition_prob_clim elevation slope aspect_sin aspect_cos".split())
-#: Thai and Lao words for the lattice: final particles, connectors that end no sentence, opening words, common others
-FINAL = set("ครับ ค่ะ คะ นะ แล้ว ด้วย เลย ซ้ำ ไหม หรือไม่ ทั้งหมด แรง ต่อไป อีก ແລ້ວ ເດີ".split())
-CONNECTORS = set("และ หรือ ของ ใน ที่ กับ จาก โดย เพื่อ ว่า คือ เป็น ให้ ແລະ ຂອງ".split())
-OPENING = set("ค่า ตาราง รุ่น เรา ผล ผลลัพธ์ ทำไม อย่า ต่อไป ถ้า เมื่อ แต่ ดังนั้น จากนั้น ข้อมูล ไฟล์ กราฟ โปรด กรุณา ทุก แต่ละ".split())
-COMMON = set("นี้ มี แถว หลังจาก กรอง ใช้ ไม่ ได้ จะ ก็ ต้อง ขึ้น ลง เพิ่มขึ้น ลม ความชื้น ต่ำกว่า สูงกว่า หน้าต่าง แก้ ปัญหา ขอบ กริด แสดง ภาพ ด้านล่าง ตัด ขาดหาย ออก อ่าน ก่อน จึง คำนวณ ค่าเฉลี่ย วาด รายเดือน รายวัน สุดท้าย ว่างเปล่า รัน เซลล์ โหลด".split())
+#: Thai and Lao words for the lattice, chosen by hand from everyday vocabulary: final particles and adverbs
+FINAL = set("ครับ ค่ะ คะ จ้ะ จ้า นะ เถอะ แล้ว ด้วย เลย ซ้ำ ไหม มั้ย หรือไม่ ทั้งหมด ทั้งสิ้น เท่านั้น แรง ต่อไป อีก เสมอ มาก เช่นกัน ແລ້ວ ເດີ ເນາະ ບໍ່ ນຳ ອີກ".split())
+#: connectors and prepositions, which need a continuation
+CONNECTORS = set("และ หรือ ของ ใน ที่ ซึ่ง อัน กับ จาก โดย เพื่อ ว่า คือ เป็น ให้ ตาม ต่อ แก่ ระหว่าง เพราะ ถ้า เมื่อ ແລະ ຫຼື ຂອງ ໃນ ທີ່ ກັບ ຈາກ ໂດຍ ເພື່ອ ວ່າ ແມ່ນ ເປັນ ໃຫ້".split())
+#: words that open a sentence
+OPENING = set("ค่า ตาราง รุ่น เรา ผม ฉัน เขา ผล ผลลัพธ์ ทำไม อย่า ต่อไป ถ้า เมื่อ แต่ ดังนั้น จากนั้น นอกจากนี้ อย่างไรก็ตาม ข้อมูล ไฟล์ กราฟ โปรด กรุณา ทุก แต่ละ ພວກເຮົາ ຖ້າ ເມື່ອ ແຕ່ ດັ່ງນັ້ນ ຈາກນັ້ນ ກະລຸນາ".split())
+#: other words, among them common ones that end like a connector
+COMMON = set(
+    "นี้ นั้น มี แถว หลังจาก ก่อนจาก กรอง ใช้ ไม่ ได้ จะ ก็ ต้อง ขึ้น ลง เพิ่มขึ้น ลดลง ลม ความชื้น กว่า มากกว่า น้อยกว่า ต่ำกว่า สูงกว่า ดีกว่า หน้าต่าง แก้ ปัญหา ขอบ กริด แสดง ภาพ ด้านล่าง ด้านบน ตัด ขาดหาย ออก เข้า อ่าน ก่อน หลัง จึง คำนวณ ค่าเฉลี่ย วาด รายเดือน รายวัน รายปี สุดท้าย แรก "
+    "ว่างเปล่า รัน เซลล์ โหลด พื้นที่ หน้าที่ สถานที่ วันที่ จำเป็น เจ้าของ สิ่งของ ภายใน ต่อเนื่อง ทำ ไป มา อยู่ ดู รู้ คิด เห็น บอก เริ่ม จบ หยุด เปลี่ยน ลบ เก็บ เขียน ตรวจ สร้าง พบ วัน เดือน ปี คน ฝน ไฟ ป่า น้ำ ดิน อากาศ อุณหภูมิ จำนวน ใหม่ เก่า ใหญ่ เล็ก สูง ต่ำ ดี งาน ระบบ ตัวอย่าง วิธี การ ความ "
+    "ຂໍ້ມູນ ຕາຕະລາງ ມີ ແຖວ ໃຊ້ ໄດ້ ຈະ ຕ້ອງ ອ່ານ ໄຟລ໌ ຄ່າ ນີ້ ນັ້ນ".split()
+)
 WORDS = FINAL | CONNECTORS | OPENING | COMMON
+LONGEST = max(map(len, WORDS))
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
 CLOSE = set(")]}）】」』》〉”“»›’\"'")
 BRACKETS = set(")]}）】")
@@ -64,10 +73,11 @@ ORDERED = re.compile(r"[ \t]*(\d{1,9})[.)][ \t]+")
 QUOTE = re.compile(r"[ ]{0,3}>[ \t]?")
 IMAGE = re.compile(r"[ \t]*(?:!\[[^\]]*\]\([^\s)]*\)?\s*$|<img\b)")
 RULE = re.compile(r"[ ]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|=+)\s*$")
-MARK = re.compile(r"[.!?…。！？｡।॥؟۔።፧፨။៕;\u037e]+")
-OWN_MARK = re.compile(r"[。！？｡।॥؟۔።፧፨။៕]")
+MARK = re.compile(r"[.!?…。！？｡।॥؟۔።፧፨။។៕།༎;\u037e]+")
+OWN_MARK = re.compile(r"[。！？｡।॥؟۔።፧፨။។៕།༎]")
 SPAN = re.compile(r"[`$()\[\]{}（）【】「」『』《》〈〉“”„«»‹›\"]")
 GAP = re.compile(r"(?<=[ก-໿])[ \t ]+(?=[ก-໿])")
+RUN = re.compile(r"[ก-໿]+")
 WORD = re.compile(r"\w")
 BEFORE = re.compile(r"[^\s()\[\]{}\"“”„«»‘’（）]+$")
 SPACELESS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
@@ -172,7 +182,7 @@ def word_lattice(run: str) -> list[str]:
     for i in range(n):
         if cost[i] + 1.5 < cost[i + 1]:
             cost[i + 1], back[i + 1] = cost[i] + 1.5, i
-        for k in range(2, min(14, n - i) + 1):
+        for k in range(2, min(LONGEST, n - i) + 1):
             if run[i : i + k] in WORDS and cost[i] + 1 < cost[i + k]:
                 cost[i + k], back[i + k] = cost[i] + 1, i
     out, i = [], n
@@ -182,13 +192,31 @@ def word_lattice(run: str) -> list[str]:
     return out[::-1]
 
 
-def gap_score(t: str, a: int, b: int) -> float:
-    """Score of the gap t[a:b] between two characters of a script without end marks; above 0 it ends a sentence."""
-    if t[b] in "ๆฯໆຯ":  # repetition and abbreviation marks stand after a space
+def run_before(t: str, at: int) -> str:
+    """The whole run of Thai or Lao letters that ends at a place."""
+    i = at
+    while i and "ก" <= t[i - 1] <= "໿":
+        i -= 1
+    return t[i:at]
+
+
+@lru_cache(maxsize=4096)
+def run_ends(run: str) -> tuple[str, str, bool]:
+    """First and last word of a run by its lattice, and whether the word before the last is known (or there is none)."""
+    words = word_lattice(run)
+    return words[0], words[-1], len(words) < 2 or words[-2] in WORDS
+
+
+def gap_score(before: str, after: str) -> float:
+    """Score of a gap between two runs of a script without end marks; above 0 it ends a sentence.
+
+    That it does is the prior (1). A connector counts behind a known word only, as it may else be the end of a word that the dictionary lacks.
+    """
+    if after[0] in "ๆฯໆຯ":  # repetition and abbreviation marks stand after a space
         return -3.0
-    left = word_lattice(re.search(r"[ก-໿]{1,28}$", t[max(0, a - 28) : a]).group())
-    right = word_lattice(re.match(r"[ก-໿]{1,28}", t[b : b + 28]).group())
-    return 2.0 + (left[-1] in FINAL) - (left[-1] in CONNECTORS) + (right[0] in OPENING)
+    _, last, known = run_ends(before)
+    first = run_ends(after)[0]
+    return 1.0 + 2.0 * (last in FINAL) + (first in OPENING) - 3.0 * (last in CONNECTORS and known)
 
 
 def mark_score(t: str, m: re.Match, within: list[tuple[int, int]], closes: dict[int, int], low: int) -> tuple[float, int]:
@@ -268,33 +296,54 @@ def word_score(t: str, p: int, r: int, low: int, new: bool | None) -> float:
     return 3.0
 
 
-def segment(t: str) -> list[tuple[int, int]]:
-    """Bounds of the sentences of one block: the best path through its lattice of possible ends.
+def best_path(t: str, nodes: list[tuple[int, re.Match | None, re.Match | None]]) -> list[int]:
+    """Ends of the sentences of one block: the path of the greatest total score through the lattice of possible ends.
 
-    A path may take any node of positive score, but no two that have no word between them; such nodes form a stretch,
-    so the best path takes the best node of each stretch (the last of equals, which keeps more closing marks).
+    A path takes nodes of positive score only, and between two of its ends stands a word. A node's score depends on where its sentence began, so every end
+    before it that could still lead to a better total is tried, the latest first; of equal paths the one with the later ends is taken.
     """
-    nodes = [(m.start(), None, m) for m in MARK.finditer(t)]
-    if GAP.search(t):
-        nodes = sorted([*nodes, *((m.start(), m, None) for m in GAP.finditer(t))], key=lambda x: x[0])
-    within = spans(t) if nodes else []
-    closes, low, cuts = {c: o for o, c in within}, 0, []
+    within = spans(t)
+    closes = {c: o for o, c in within}
+    ends: list[tuple[float, int, int]] = [(0.0, 0, -1)]  # total, end, place of the end before; the first is the block's begin
+    top = [0.0]  # the best total up to each place
     for at, gap, mark in nodes:
+        best = None
         if gap:
-            inner = any(o < at < c for o, c in within)
-            score, end = (-9.0 if inner else gap_score(t, *gap.span())), at
+            score, end = (-9.0 if any(o < at < c for o, c in within) else gap_score(run_before(t, at), RUN.match(t, gap.end()).group())), at
+            limit = score
         else:
-            score, end = mark_score(t, mark, within, closes, low)
-        if score <= 0:
-            continue
-        if WORD.search(t, low, end):
-            cuts.append((score, end))
-            low = end
-        elif cuts and score >= cuts[-1][0]:
-            cuts[-1] = (score, end)
-            low = end
+            limit = 4.0 if t[mark.end() :].strip() else 9.0
+        for i in range(len(ends) - 1, -1, -1):
+            total, low, _ = ends[i]
+            if best and top[i] + limit <= best[0]:
+                break
+            if best and total + limit <= best[0]:
+                continue
+            if mark:
+                score, end = mark_score(t, mark, within, closes, low)
+            if score > 0 and (best is None or total + score > best[0]) and WORD.search(t, low, end):
+                best = (total + score, end, i)
+            if gap and score <= 0:
+                break
+        if best:
+            ends.append(best)
+            top.append(max(top[-1], best[0]))
+    place = max(range(len(ends)), key=lambda i: (ends[i][0], i))
+    out = []
+    while place > 0:
+        out.append(ends[place][1])
+        place = ends[place][2]
+    return out[::-1]
+
+
+def segment(t: str) -> list[tuple[int, int]]:
+    """Bounds of the sentences of one block."""
+    nodes = [(m.start(), None, m) for m in MARK.finditer(t)]
+    if GAP.search(t):
+        nodes = sorted([*nodes, *((m.start(), m, None) for m in GAP.finditer(t))], key=lambda x: x[0])
+    cuts = best_path(t, nodes) if nodes else []
     out, begin = [], 0
-    for end in [*(c[1] for c in cuts), len(t)]:
+    for end in [*cuts, len(t)]:
         piece = t[begin:end]
         body = piece.strip()
         if body and (WORD.search(body) or any(unicodedata.category(c) == "So" for c in body)):
