@@ -8,6 +8,9 @@ joined as a tree. At each join a window of ids around it is decoded to bytes and
 until its outer ids on both sides equal those of the halves. As a sequence of BPE ids is the encoding of its
 bytes exactly when every two neighbours are, the result equals that of the whole piece.
 
+Documents are read twice, the short and the long ones each once; the parts of the long ones are shuffled once, by what they hold, so equal parts of
+equal rows are counted on the map side and encoded once.
+
 A null or empty text has the empty list. Special tokens are never produced: their strings are ordinary text. Repeated
 rows are repeated in the result, also without an id. Extra columns are ignored; an empty table gives no rows.
 """
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from celldays.session import spread
 
 LEAF = 32_768
+#: fixed value: the pattern for which the places of safe cuts are proven; another pattern is refused
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BATCH_CHARS = 8_000_000
 
 
@@ -44,17 +49,20 @@ def codec(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the tokenizer's pattern is not the one that safe cuts are known for")
     # byte-level vocabularies hold all 256 bytes, so every text has an encoding
+    if any(bytes([i]) not in ranks for i in range(256)):
+        raise ValueError(f"{path} is not a byte-level vocabulary")
     return tuple(tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("text", public_tokenizers.PATTERN), ("piece", r"(?s:.+)")))
 
 
 @lru_cache(maxsize=1)
 def patterns():
-    import public_tokenizers
     import regex
 
     safe = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
-    return safe, regex.compile(public_tokenizers.PATTERN)
+    return safe, regex.compile(PATTERN)
 
 
 def leaves_of(text: str, leaf: int) -> Iterator[tuple[int, str]]:
@@ -150,10 +158,10 @@ def _cut(leaf: int) -> Callable:
         import pyarrow.compute  # noqa: F401
 
         for whole in batches:
-            for b in chunks(whole, 1):
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    got = list(leaves_of(text, leaf))
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(got), pa.string()), pa.array(range(len(got)), pa.int32()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string())], ["key", "leaf", "piece", "part"])
+            for i, text in enumerate(whole.column(2)):
+                got = list(leaves_of(text.as_py(), leaf))
+                at = pa.array([i] * len(got), pa.int64())
+                yield pa.RecordBatch.from_arrays([whole.column(0).take(at), whole.column(1).take(at), pa.array(range(len(got)), pa.int32()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string())], ["id", "hash", "leaf", "piece", "part"])
 
     return run
 
@@ -164,20 +172,20 @@ def _parts(path: str) -> Callable:
         import pyarrow.compute  # noqa: F401
 
         for whole in batches:
-            for b in chunks(whole, 3):
-                ids = [(text if p < 0 else piece).encode_to_numpy(t, disallowed_special=()) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], lists(ids)], ["key", "leaf", "piece", "ids"])
+            for b in chunks(whole, 4):
+                ids = [(text if p < 0 else piece).encode_to_numpy(t, disallowed_special=()) for p, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], lists(ids), b.column(5)], ["id", "hash", "leaf", "piece", "ids", "copies"])
 
     return run
 
 
-def _join(path: str) -> Callable:
+def _join(path: str, count: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = codec(path)[1]
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
                 out, held, now = [], [], -1
-                for x in [*row["leaves"], {"piece": -2, "ids": []}]:
+                for x in [*b.column(2)[i].as_py(), {"piece": -2, "ids": []}]:
                     if held and x["piece"] != now:
                         out += join_tree(held, piece)
                         held = []
@@ -186,7 +194,8 @@ def _join(path: str) -> Callable:
                         held.append(x["ids"])
                     else:
                         out += x["ids"]
-                yield pa.RecordBatch.from_arrays([pa.array([row["key"]], pa.string()), lists([out])], ["key", "ids"])
+                made = pa.array([len(out)], pa.int64()) if count else lists([out])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), made, b.column(1).slice(i, 1)], ["id", "out", "copies"])
 
     return run
 
@@ -198,10 +207,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     id_type = rows.schema["id"].dataType.simpleString()
     size = F.coalesce(F.length("text"), F.lit(0))
     short = spread(rows).where(size <= leaf).mapInArrow(_short(path, count), f"id {id_type}, out {kind}")
-    # long documents only: equal rows are encoded once, their leaves spread over the cluster
-    long = rows.where(size > leaf).groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.md5("text")))
-    cut_up = long.select("key", "text").mapInArrow(_cut(leaf), "key string, leaf int, piece int, part string")
-    coded = cut_up.repartition("key", "leaf").mapInArrow(_parts(path), "key string, leaf int, piece int, ids array<int>")
-    whole = coded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("leaf", "piece", "ids"))).alias("leaves")).mapInArrow(_join(path), "key string, ids array<int>")
-    again = long.select("id", "key", "copies").join(whole, "key").select("id", (F.size("ids").cast("bigint") if count else F.col("ids")).alias("out"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    # long documents only: a row is known by its id and the hash of its text, and equal rows are one with a number of copies
+    long = rows.where(size > leaf).select("id", F.sha2("text", 256).alias("hash"), "text")
+    cut_up = long.mapInArrow(_cut(leaf), f"id {id_type}, hash string, leaf int, piece int, part string")
+    parts = cut_up.groupBy("id", "hash", "leaf", "piece", "part").agg(F.count(F.lit(1)).alias("copies"))
+    coded = parts.mapInArrow(_parts(path), f"id {id_type}, hash string, leaf int, piece int, ids array<int>, copies bigint")
+    whole = coded.groupBy("id", "hash").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("leaf", "piece", "ids"))).alias("leaves"))
+    joined = whole.select("id", "copies", "leaves").mapInArrow(_join(path, count), f"id {id_type}, out {kind}, copies bigint")
+    again = joined.select("id", "out", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return short.unionByName(again.select("id", "out")).select(F.col("id").alias(id_col), F.col("out").alias(name))
