@@ -9,6 +9,9 @@ The rank is exact but distributed: a histogram over 4,096 hash ranges per leaf l
 cutoff, lower ranges are taken whole and only the cutoff range is ranked, so a leaf with a third of all rows is never
 sorted in one task. Only counts per leaf (as many as targets) reach the driver.
 
+Whether a target can be met is found by the same draw: as many keys as the target demands are drawn from the leaf, and where fewer
+come out it can't.
+
 A row counts if its key has no null part and its label fits the class. Repeated rows and ties of one key are one draw
 (the row with the least label_id stands for it); a key delivered in two classes is available in both. Targets with a
 null share or minimum count as 0; minima that exceed the sample size together share it in proportion. Empty tables give no sample and a report with available 0.
@@ -28,7 +31,7 @@ from celldays.session import cut
 LEAF = ["split", "type_class"]
 RANGES = 4096
 MAX_LEAVES = 10_000
-REPORT = "split string, type_class string, target_share double, min_rows int, sample_size int, available long, quota long, drawn long, to_siblings long, to_cousins long, shortfall long, unmet boolean"
+REPORT = "split string, type_class string, target_share double, min_rows int, sample_size int, available long, demand long, reached long, quota long, drawn long, to_siblings long, to_cousins long, shortfall long, unmet boolean"
 
 
 def family(type_class: str) -> str:
@@ -111,13 +114,27 @@ def allocate(targets: list[dict], available: dict[tuple, int]) -> list[dict]:
                     sent[kind][i] += moved
                     left -= moved
         for i, t in enumerate(leaves):
-            bad = have[i] < share[i] * (t["sample_size"] or 0) or have[i] < least[i]
-            out.append({**{k: t[k] for k in (*LEAF, "target_share", "min_rows", "sample_size")}, "available": have[i], "quota": quota[i], "drawn": drawn[i], "to_siblings": sent["siblings"][i], "to_cousins": sent["cousins"][i], "shortfall": unmet[i], "unmet": bad})
+            demand = max(math.ceil(share[i] * (t["sample_size"] or 0)), least[i])
+            out.append({**{k: t[k] for k in (*LEAF, "target_share", "min_rows", "sample_size")}, "available": have[i], "quota": quota[i], "drawn": drawn[i], "to_siblings": sent["siblings"][i], "to_cousins": sent["cousins"][i], "shortfall": unmet[i], "demand": demand})
     return out
 
 
+def draw(keys: DataFrame, hist: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first n keys of each leaf by permuted dense rank, all where it has fewer; keys: leaf_keys(), hist: their numbers by leaf and range, wanted: (split, type_class, n), a row per leaf."""
+    over = Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    # wanted and edges have at most one row per leaf, MAX_LEAVES as checked
+    ends = hist.withColumn("end", F.sum("n").over(over)).withColumn("before", F.col("end") - F.col("n")).drop("n").join(F.broadcast(wanted), LEAF)
+    edge = ends.where((F.col("end") >= F.col("n")) & (F.col("before") < F.col("n"))).select(*LEAF, F.col("range").alias("edge"), "before")
+    lines = wanted.where("n > 0").join(edge, LEAF, "left").select(*LEAF, "n", F.coalesce("edge", F.lit(RANGES)).alias("edge"), "before")
+    marked = keys.join(F.broadcast(lines), LEAF)
+    low = marked.where(F.col("range") < F.col("edge"))
+    rank = F.col("before") + F.dense_rank().over(Window.partitionBy(*LEAF).orderBy("perm", *KEY))
+    last = marked.where(F.col("range") == F.col("edge")).withColumn("rank", rank).where(F.col("rank") <= F.col("n")).drop("rank")
+    return low.unionByName(last).select(*LEAF, *KEY, "label_id", "perm")
+
+
 def sample_by_proportion(labels: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """The drawn rows (split, type_class, key, label_id, rank) and the report of every target."""
+    """The drawn rows (split, type_class, key, label_id, perm) and the report of every target; unmet: a draw of the demand reaches fewer keys."""
     spark = labels.sparkSession
     wanted = [r.asDict() for r in targets.dropDuplicates(LEAF).orderBy(*LEAF).limit(MAX_LEAVES + 1).collect()]
     if len(wanted) > MAX_LEAVES:
@@ -126,16 +143,9 @@ def sample_by_proportion(labels: DataFrame, targets: DataFrame, seed: int = 42)
     keys = cut(leaf_keys(labels, leaves, seed))
     hist = keys.groupBy(*LEAF, "range").agg(F.count(F.lit(1)).alias("n"))
     available = {(r[0], r[1]): r[2] for r in hist.groupBy(*LEAF).agg(F.sum("n")).collect()}
-    plan = allocate(wanted, available)
-    names = [c.split()[0] for c in REPORT.split(", ")]
-    report = spark.createDataFrame([tuple(p[c] for c in names) for p in plan], REPORT)
-    over = Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = report.select(*LEAF, "drawn")
-    ends = hist.withColumn("end", F.sum("n").over(over)).join(F.broadcast(drawn), LEAF)
-    # first range whose running count reaches the draw: at most one row per leaf
-    edge = ends.where((F.col("end") >= F.col("drawn")) & (F.col("end") - F.col("n") < F.col("drawn"))).select(*LEAF, "drawn", F.col("range").alias("edge"), (F.col("end") - F.col("n")).alias("before"))
-    marked = keys.join(F.broadcast(edge), LEAF)
-    low = marked.where(F.col("range") < F.col("edge"))
-    rank = F.col("before") + F.dense_rank().over(Window.partitionBy(*LEAF).orderBy("perm", *KEY))
-    last = marked.where(F.col("range") == F.col("edge")).withColumn("rank", rank).where(F.col("rank") <= F.col("drawn")).drop("rank")
-    return low.unionByName(last).select(*LEAF, *KEY, "label_id", "perm"), report
+    plan = [{**p, "reached": None, "unmet": None} for p in allocate(wanted, available)]
+    report = spark.createDataFrame([tuple(p[c.split()[0]] for c in REPORT.split(", ")) for p in plan], REPORT)
+    reached = draw(keys, hist, report.select(*LEAF, F.col("demand").alias("n"))).groupBy(*LEAF).agg(F.count(F.lit(1)).alias("got"))
+    got = F.coalesce("got", F.lit(0))
+    report = report.join(reached, LEAF, "left").withColumn("reached", got).withColumn("unmet", got < F.col("demand")).select(*(c.split()[0] for c in REPORT.split(", ")))
+    return draw(keys, hist, report.select(*LEAF, F.col("drawn").alias("n"))), report
