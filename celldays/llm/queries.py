@@ -59,7 +59,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = table(spark, d, "mixture_targets")
     topics = [r[0] for r in table(spark, d, "feature_catalog").select("feature").distinct().collect()]
     return mix(counted(table(spark, d, "documents"), targets, topics), targets)
@@ -77,11 +77,15 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p7_margins(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[2]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_found, p3_splits, p3_report, p4_found, p4_report, p6_ids, p7_found, p7_mixture, p7_report, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_found, p3_splits, p3_report, p4_found, p4_report, p6_ids, p7_found, p7_mixture, p7_report, p7_margins, p8_found)}
 
 _READ = """
 with r as (select label_id, aoi_id, target_date, "row" as r, col as c, label, source_file,

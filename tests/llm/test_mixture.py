@@ -13,7 +13,7 @@ def test_counted_and_mixed(spark):
     tokens = counted(df, targets, ["fwi", "aet"], leaf=64)
     got = sorted(((r["doc_id"] or 0), r["source"], r["language"], r["topic"], r["n_tokens"]) for r in tokens.collect())
     assert got == sorted([(1, "src_a", "en", "fwi", size("a b c")), (2, "src_a", "de", "other", 0), (3, "src_a", "und", "other", 0), (4, "src_b", "zh", "aet", size(long)), (4, "src_b", "zh", "aet", size(long)), (0, "src_b", "fr", "fwi", size("d e"))])
-    docs, report = mix(tokens, targets)
+    docs, report, _ = mix(tokens, targets)
     assert {r["source"]: r["unreachable"] for r in report.collect()} == {"src_a": True, "src_b": False}
     assert all(1 <= r["copies"] <= 2 and r["n_tokens"] > 0 for r in docs.collect())
     assert counted(df.limit(0), targets, ["fwi"]).count() == 0

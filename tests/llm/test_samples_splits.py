@@ -4,12 +4,15 @@ from collections import defaultdict
 from datetime import date, timedelta
 from itertools import permutations, product
 
-from celldays.llm.mixture import mix, rake
+import celldays.llm.mixture as mixture
+import celldays.llm.proportions as proportions
+from celldays.llm.mixture import level, mix, rake
 from celldays.llm.overlap import overlap_report, overlaps
 from celldays.llm.proportions import allocate, apportion, sample_by_proportion
 from celldays.llm.splits import assigned, broken_groups, class_cost, class_flow, components, deviation, flow, grouped_split, with_components
 
 import numpy as np
+from pyspark.sql import functions as F
 
 LABELS = "label_id long, aoi_id int, target_date date, row int, col int, label int, type_class string, split string, fire_event_id string, source_file string, component string"
 D = date(2020, 6, 1)
@@ -29,11 +32,11 @@ def test_apportion_and_allocation():
     out = allocate(t, {("train", "FIRETYPE1"): 10, ("train", "FIRETYPE2"): 30, ("train", "NOFIRE0A"): 200})
     by = {x["type_class"]: x for x in out}
     assert [by[c]["drawn"] for c in ("FIRETYPE1", "FIRETYPE2", "NOFIRE0A")] == [10, 30, 60]
-    assert by["FIRETYPE1"]["to_siblings"] == 10 and by["FIRETYPE1"]["to_cousins"] == 20 and by["FIRETYPE1"]["unmet"]
+    assert by["FIRETYPE1"]["to_siblings"] == 10 and by["FIRETYPE1"]["to_cousins"] == 20 and by["FIRETYPE1"]["demand"] == 40
     assert allocate(t, {})[0]["shortfall"] == 40
 
 
-def test_sample(spark):
+def test_sample(spark, monkeypatch):
     rows = [label(i, " Training", "fire_type-1") for i in range(50)] + [label(100 + i, "tr", "FIRETYPE1", row=i) for i in range(50)]
     rows += [label(200 + i, "TR", "NOFIRE0A", row=1000 + i) for i in range(40)] + [label(300, None), label(301, "train", None), label(302, "train", "FIRETYPE1", day=None), label(303, "train", "FIRETYPE1", row=9000, lab=0)]
     t = targets(spark, [("train", "FIRETYPE1", 0.5, 5, 40), ("train", "NOFIRE0A", 0.5, 50, 40), ("val", "FIRETYPE1", None, None, None)])
@@ -44,6 +47,10 @@ def test_sample(spark):
     assert all(i < 100 for c, _, i in got if c == "FIRETYPE1")  # the least id stands for a key
     rep = {(r["split"], r["type_class"]): r for r in report.collect()}
     assert rep["train", "FIRETYPE1"]["available"] == 50 and rep["train", "NOFIRE0A"]["unmet"] and not rep["val", "FIRETYPE1"]["unmet"]
+    assert rep["train", "NOFIRE0A"]["reached"] == 40 and rep["train", "FIRETYPE1"]["reached"] == 20
+    with monkeypatch.context() as m:  # a draw that gives nothing meets nothing
+        m.setattr(proportions, "draw", lambda keys, hist, wanted: keys.limit(0))
+        assert all(r["unmet"] for r in sample_by_proportion(spark.createDataFrame(rows, LABELS), t)[1].where("demand > 0").collect())
     empty, report = sample_by_proportion(spark.createDataFrame([], LABELS), t)
     assert empty.count() == 0 and {r["available"] for r in report.collect()} == {0}
 
@@ -163,13 +170,16 @@ def test_overlap_against_brute_force(spark):
     assert overlaps(df.limit(0)).count() == 0
 
 
-def test_rake_and_mix(spark):
-    mass = np.array([[[100.0, 50.0]], [[10.0, 0.0]]])
-    m = rake(mass, np.array([60.0, 20.0]), np.array([2.0, 3.0]), np.array([1.0]), np.array([0.6, 0.4]))
-    assert np.allclose((m * mass).sum(axis=(1, 2)), [60, 20]) and m[0].max() <= 2 and m[1].max() <= 3
+def test_rake_and_mix(spark, monkeypatch):
+    mass = np.array([100.0, 50.0, 10.0])
+    m = rake([(0, 0, 0), (0, 0, 1), (1, 0, 0)], mass, np.array([60.0, 20.0]), np.array([2.0, 3.0]), np.array([1.0]), np.array([0.6, 0.4]))
+    assert np.allclose([(m * mass)[:2].sum(), m[2] * 10], [60, 20]) and m[:2].max() <= 2 and m[2] <= 3
+    for target in (0.0, 1.0, 55.5, 299.0, 300.0, 400.0):
+        x = level(np.array([0.1, 1.0, 2.0]), np.array([100.0, 30.0, 20.0]), 2.0, target)
+        assert np.isclose(x @ [100, 30, 20], min(target, 300)) and x.max() <= 2
     tokens = spark.createDataFrame([(i, "a" if i % 3 else "b", "en", "other", 10 + i % 7) for i in range(900)] + [(None, "b", "de", "fwi", 5), (1, "b", "de", "fwi", 0)], "doc_id long, source string, language string, topic string, n_tokens long")
     t = spark.createDataFrame([("A", 0.5, 2, 8000), ("b ", 0.4, 1, 8000), ("c", 0.1, 4, 8000), ("d", None, None, 8000)], "source string, target_weight double, max_repeat int, total_tokens long")
-    docs, report = mix(tokens, t)
+    docs, report, margins = mix(tokens, t)
     rep = {r["source"]: r for r in report.collect()}
     assert rep["c"]["unreachable"] and not rep["A"]["unreachable"] and not rep["d"]["unreachable"]
     used = defaultdict(int)
@@ -177,5 +187,13 @@ def test_rake_and_mix(spark):
         assert 1 <= r["copies"] <= {"a": 2, "b": 1}[r["source"]]
         used[r["source"]] += r["copies"] * r["n_tokens"]
     assert used["a"] == rep["A"]["used_tokens"] and abs(used["a"] - 4000) < 60 and abs(used["b"] - 3200) < 60
-    docs, report = mix(tokens.limit(0), t)
-    assert docs.count() == 0 and report.count() == 4
+    got = {(r["kind"], r["name"]): r for r in margins.collect()}
+    assert set(got) == {("language", "en"), ("language", "de"), ("topic", "other"), ("topic", "fwi")}
+    assert sum(r["used_tokens"] for k, r in got.items() if k[0] == "topic") == sum(used.values()) and abs(sum(r["target_share"] for r in got.values()) - 2) < 1e-9
+    with monkeypatch.context() as x:  # a fit that tells nothing finds nothing
+        x.setattr(mixture, "rake", lambda cells, mass, *rest: np.ones(len(cells)))
+        assert not [r for r in mix(tokens, t.withColumn("total_tokens", F.lit(100_000).cast("long")))[1].collect() if r["unreachable"] and r["source"] == "A"]
+    low = t.withColumn("total_tokens", F.lit(100_000).cast("long"))
+    assert [r["source"] for r in mix(tokens, low)[1].collect() if r["unreachable"]] == ["A", "b ", "c"]
+    docs, report, margins = mix(tokens.limit(0), t)
+    assert docs.count() == 0 and report.count() == 4 and margins.count() == 0
