@@ -102,13 +102,13 @@ def _(s, d):
     return features(s, d).groupBy(*KEY).agg(F.count_distinct("window_id").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("samples"))
 
 
-@q("a14_window_aggregates", f"""with {CELL_DAYS}, sa as (select "row", col, day as target_date from cd where fire = 1 and day between date '1996-06-01' and date '1996-06-20'),
+@q("a14_window_aggregates", f"""with {CELL_DAYS}, sa as (select "row", col, day as target_date from cd where fire = 1),
  j as (select sa."row", sa.col, target_date, ((target_date - day - 1) // 16 + 1)::int as window_id, day, temp, precip, wind, rh from sa join cd on cd."row" = sa."row" and cd.col = sa.col and target_date - day between 1 and 64)
  select "row", col, target_date, window_id, case when count(*) >= 3 then round(avg(temp), 6) end as temp, case when count(*) >= 3 then round(sum(precip), 6) end as precip, case when count(*) >= 3 then round(max(wind), 6) end as wind,
   case when count(*) >= 3 then round(list_reduce(list(rh order by day), lambda a, x: 0.3 * x + (1 - 0.3) * a), 6) end as rh from j group by all""")
 def _(s, d):
     c = cell_days(s, d)
-    sa = c.where("fire = 1 and day between date'1996-06-01' and date'1996-06-20'").select("row", "col", F.col("day").alias("target_date"))
+    sa = c.where("fire = 1").select("row", "col", F.col("day").alias("target_date"))
     keys = ["row", "col", "target_date"]
     w = window_features(window_ids(sa, c.drop("fire"), ["row", "col"], 16), keys, {"temp": "mean", "precip": "sum", "wind": "max", "rh": "ema"}, alpha=0.3, least=3)
     return w.withColumns({c: F.round(c, 6) for c in ("temp", "precip", "wind", "rh")})
@@ -143,9 +143,9 @@ def history(s, d):
     return pseudo_daily(w).withColumn("feature", F.lit("fwi"))
 
 
-HISTORY = """hw as (select aoi_id, "row", col, window_id, avg(fwi::double) filter (where fwi between 0 and 150) as value from features_train where window_id between 1 and 4 group by all),
- h as (select aoi_id, "row", col, (4 - window_id) * 16 + i as i, 'fwi' as feature, value from hw, range(0, 16) r(i)),
- de as (select * from (select *, coalesce(value, 0) - lag(coalesce(value, 0)) over (partition by aoi_id, "row", col order by i) as delta from h) where delta is not null)"""
+HISTORY = """hw as materialized (select aoi_id, "row", col, window_id, avg(fwi::double) filter (where fwi between 0 and 150) as value from features_train where window_id between 1 and 4 group by all),
+ h as materialized (select aoi_id, "row", col, (4 - window_id) * 16 + i as i, 'fwi' as feature, value from hw, range(0, 16) r(i)),
+ de as materialized (select * from (select *, coalesce(value, 0) - lag(coalesce(value, 0)) over (partition by aoi_id, "row", col order by i) as delta from h) where delta is not null)"""
 
 
 @q("a19_history_noise", f'with {HISTORY}, sg as (select greatest(stddev_pop(delta), 1e-6) as sigma from de) select aoi_id, "row", col, feature, round(avg(delta), 6) as mu, round(any_value(sigma), 6) as sigma from de, sg group by all')

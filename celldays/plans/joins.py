@@ -47,9 +47,9 @@ def _(s, d):
     return nearest_within(points(s, d), stations(s, d), "x", "y", 0.8, ["station"]).select("id", "station", F.round("distance", 9).alias("distance"))
 
 
-@q("j05_event_distance", f"""with {CELL_DAYS}, z as (select * from cd where fire = 0 and day < date '1996-01-01'), f as (select day, "row" as er, col as ec from cd where fire = 1),
+@q("j05_event_distance", f"""with {CELL_DAYS}, z as (select * from cd where fire = 0), f as (select day, "row" as er, col as ec from cd where fire = 1),
  m as (select z.day, z."row", z.col, sqrt(min((z."row" - er) ** 2 + (z.col - ec) ** 2)::double) as dist from z join f using (day) group by all)
- select z."row", z.col, z.day, case when dist <= 10 then round(dist, 9) end as distance from z left join m using (day, "row", col)""")
+ select z."row", z.col, z.day, round(dist, 9) as distance from z left join m using (day, "row", col)""")
 def _(s, d):
     c = cell_days(s, d)
     z = c.where("fire = 0").select("day", "row", "col")
@@ -77,13 +77,13 @@ def _(s, d):
     return left.join(right, KEY, "left").select("label_id", "label", "right_feat_id")
 
 
-@q("j11_one_to_many", f"select f.feat_id, l.label_id from labels_combined l join features_train f using ({K}) where l.label = 1 and l.source_file <> 'labels_redelivery.csv'")
+@q("j11_one_to_many", f"select f.feat_id, l.label_id from labels_combined l join features_train f using ({K}) where l.label = 1")
 def _(s, d):
     y = table(s, d, "labels_combined").where("label = 1").select("label_id", *KEY)
     return features(s, d).select("feat_id", *KEY).join(y, KEY).select("feat_id", "label_id")
 
 
-@q("j12_interval", f"""with {CELL_DAYS}, sa as (select "row", col, day as target_date from cd where fire = 1 and day between date '1996-06-01' and date '1996-06-10')
+@q("j12_interval", f"""with {CELL_DAYS}, sa as (select "row", col, day as target_date from cd where fire = 1)
  select sa."row", sa.col, target_date, ((target_date - day - 1) // 16 + 1)::int as window_id, count(*) as n, round(avg(temp), 6) as temp from sa join cd on cd."row" = sa."row" and cd.col = sa.col and target_date - day between 1 and 64 group by all""")
 def _(s, d):
     c = cell_days(s, d)

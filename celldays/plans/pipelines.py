@@ -26,9 +26,9 @@ def _(s, d):
     return history_patterns(cube(s, d), 16, 2).select("row", "col", "day", "w1", "w2", "w3", "w4", "pattern_type")
 
 
-_NEG = f"""with {CUBE}, {TRAIL(1)}, z as (select day, "row", col, greatest(w1, w2, w3, w4) as history from tr where fire = 0 and w1 + w2 + w3 + w4 is not null and day between date '1996-03-01' and date '1996-04-30' and day in (select day from cd where fire = 1)),
- f as (select day, "row" as er, col as ec from cd where fire = 1), dm as (select z.day, z."row", z.col, any_value(history) as history, sqrt(min((z."row" - er) ** 2 + (z.col - ec) ** 2)::double) as dist from z join f using (day) group by all),
- ng as (select day, "row", col, case when dist <= 10 then dist end as distance, case when dist > 10 then '0D' when dist > 1 and dist <= 5 then case when history = 0 then '0A' else '0B' end when dist > 5 and history = 1 then '0C' end as class_name from dm)"""
+_NEG = f"""with {CUBE}, {TRAIL(1)}, z as (select day, "row", col, greatest(w1, w2, w3, w4) as history from tr where fire = 0 and w1 + w2 + w3 + w4 is not null),
+ f as (select day, "row" as er, col as ec from cd where fire = 1), dm as (select z.day, z."row", z.col, any_value(history) as history, sqrt(min((z."row" - er) ** 2 + (z.col - ec) ** 2)::double) as distance from z join f using (day) group by all),
+ ng as (select day, "row", col, distance, case when distance > 10 then '0D' when distance > 1 and distance <= 5 then case when history = 0 then '0A' else '0B' end when distance > 5 and history = 1 then '0C' end as class_name from dm)"""
 
 
 def negative_rows(s, d):
@@ -94,9 +94,12 @@ def _(s, d):
     return s.createDataFrame([(v,) for v in years], "val_year int")
 
 
-@q("c06_rebalanced", f"""with r as (select label_id, regexp_replace(upper(type_class), '[^A-Z0-9]', '', 'g') as c, target_date from labels_combined where target_date is not null), w as (select * from (values ('FIRETYPE1', 10), ('FIRETYPE5', 15), ('FIRETYPE2', 10), ('NOFIRE0A', 7), ('NOFIRE0B', 7), ('NOFIRE0C', 14), ('NOFIRE0D', 7)) v(c, w)),
- u as (select min(n // w) as k from (select c, count(*) as n from r group by 1) join w using (c)),
- o as (select label_id, c, w, row_number() over (partition by c order by ln({_U.format(h=H('label_id'))}) / case when month(target_date) between 6 and 9 then 2.0 else 1.0 end desc, {H('label_id')}, label_id) as place from r join w using (c)) select label_id, c as class_name from o, u where place <= w * k""")
+@q("c06_rebalanced", f"""with r as (select label_id, case substr(ltrim(lower(split), chr(32) || chr(9)), 1, 2) when 'tr' then 'train' when 'va' then 'val' when 'te' then 'test' end as split, regexp_replace(upper(type_class), '[^A-Z0-9]', '', 'g') as c, target_date from labels_combined where target_date is not null),
+ w as (select * from (values ('FIRETYPE1', 10), ('FIRETYPE5', 15), ('FIRETYPE2', 10), ('NOFIRE0A', 7), ('NOFIRE0B', 7), ('NOFIRE0C', 14), ('NOFIRE0D', 7)) v(c, w)),
+ u as (select split, case when count(*) = 7 then min(n // w) else 0 end as k from (select split, c, count(*) as n from r where split is not null group by all) join w using (c) group by 1),
+ k as (select split, coalesce(k, 0) as k from (select distinct split from r where split is not null) left join u using (split)),
+ o as (select label_id, split, c, w, row_number() over (partition by split, c order by ln({_U.format(h=H('label_id'))}) / case when split = 'train' and month(target_date) between 6 and 9 then 2.0 else 1.0 end desc, {H('label_id')}, label_id) as place from r join w using (c) where split is not null)
+ select split, label_id, c as class_name from r join k using (split) where k = 0 union all select split, label_id, c from o join k using (split) where k > 0 and place <= w * k""")
 def _(s, d):
     unit = required_per_unit({"fire": {"FIRETYPE1": 2, "FIRETYPE5": 3, "FIRETYPE2": 2}, "nofire": {"NOFIRE0A": 1, "NOFIRE0B": 1, "NOFIRE0C": 2, "NOFIRE0D": 1}})
     r = table(s, d, "labels_combined").where("target_date is not null").select("label_id", split_of("split").alias("split"), F.regexp_replace(F.upper("type_class"), "[^A-Z0-9]", "").alias("class_name"), "target_date").where("split is not null")

@@ -161,7 +161,7 @@ def current(s, d):
 
 
 CURRENT = HISTORY + """, sg as (select greatest(stddev_pop(delta), 1e-6) as sigma from de), mu as (select aoi_id, "row", col, avg(delta) as mu from de group by all),
- cur as (select aoi_id, "row", col, coalesce(value, 0) as value, mu, sigma from h join mu using (aoi_id, "row", col), sg where i = 63)"""
+ cur as materialized (select aoi_id, "row", col, coalesce(value, 0) as value, mu, (select sigma from sg) as sigma from (select * from h where i = 63) join mu using (aoi_id, "row", col))"""
 
 
 @q("w13_recursion", f'with {CURRENT} select aoi_id, "row", col, s::int as h, round(value + s * mu, 6) as projected from cur, range(1, 8) r(s)')
