@@ -1,14 +1,13 @@
 """Diurnal fine fuel moisture code: bilinear interpolation in tables of the noon code by time of day and humidity class.
 
-The published tables are a parameter (a Tables value of the caller's); diurnal_tables() builds stand-ins of the same shape
-from a rule, for use where the published ones are not at hand. Before noon (6:00 to 11:59) the humidity class chooses the
+The published tables are a parameter, which has no default: a Tables value or what read_tables() finds in a file. Before noon (6:00 to 11:59) the humidity class chooses the
 table; else one main table holds. Humidity is rounded half to even and cut to 1..100, the code to the table's range. A
 null code, humidity or time gives null.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,17 +26,12 @@ class Tables:
     limits: dict[int, tuple[int, int]]
 
 
-def diurnal_tables(step: float = 5.0) -> Tables:
-    """Stand-in tables: a daily cosine around 17:00 whose swing shrinks with the code, lifted or lowered by humidity class."""
-    axis = [17.5, *(20 + step * i for i in range(int(80 / step) + 1)), 101.0]
-
-    def rows(hours, lift: float) -> dict[int, list[float]]:
-        swing = lambda h: (1 - math.cos(2 * math.pi * (h - 17) / 24)) / 2
-        return {h: [max(0.0, min(101.0, f + lift - swing(h) * (101 - f) * 0.45)) for f in axis] for h in hours}
-
-    morning = range(6, 13)
-    limits = {h: (90 - 6 * (h - 6), 98 - 4 * (h - 6)) for h in morning}
-    return Tables(axis, rows([*range(12, 25), *range(1, 6)], 0.0), rows(morning, 4.0), rows(morning, 0.0), rows(morning, -4.0), limits)
+def read_tables(path: str) -> Tables:
+    """Tables from a JSON file of the caller's: axis, main, low, medium, high (hour to row) and limits (hour to two humidities)."""
+    with open(path, encoding="utf-8") as f:
+        x = json.load(f)
+    hours = lambda t: {int(h): v for h, v in t.items()}
+    return Tables([float(v) for v in x["axis"]], *(hours(x[k]) for k in ("main", "low", "medium", "high")), {h: tuple(v) for h, v in hours(x["limits"]).items()})
 
 
 def _interpolated(table: dict[int, list[float]], axis: list[float], hour: Column, minute: Column, code: Column) -> Column:
@@ -58,9 +52,9 @@ def _interpolated(table: dict[int, list[float]], axis: list[float], hour: Column
     return now + (F.coalesce(then, now) - now) * minute / 60.0
 
 
-def diurnal_ffmc(df: DataFrame, tables: Tables | None = None, name: str = "diurnal_ffmc") -> DataFrame:
+def diurnal_ffmc(df: DataFrame, tables: Tables, name: str = "diurnal_ffmc") -> DataFrame:
     """df (ffmc, rh, hour, minute) with the code at that time of day."""
-    t = tables or diurnal_tables()
+    t = tables
     code = F.when(F.col("ffmc").isNotNull(), F.least(F.greatest(F.col("ffmc").cast("double"), F.lit(t.axis[0])), F.lit(t.axis[-1])))
     rh = F.when(F.col("rh").isNotNull(), F.least(F.greatest(F.rint(F.col("rh").cast("double")), F.lit(1.0)), F.lit(100.0)))
     hour = F.when(F.col("hour") == 0, 24).otherwise(F.col("hour")).cast("int")

@@ -61,11 +61,11 @@ def walk(current: DataFrame, keys: list[str], samples: int, horizon: int, low: s
 
 
 def paths(current: DataFrame, keys: list[str], samples: int, horizon: int, seed: int = 42) -> DataFrame:
-    """Whole paths (sample, step 0 .. horizon, value): a running sum per path of horizon + 1 rows."""
-    rows = current.withColumn("_row", F.xxhash64(*keys)).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon))))
-    move = F.when(F.col("step") == 0, F.col("value").cast("double")).otherwise(F.col("mu") + F.col("sigma") * _normal(F.col("_row"), F.col("sample"), F.col("step"), seed))
-    w = Window.partitionBy(*keys, "sample").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("path", F.sum(move).over(w)).drop("_row")
+    """Whole paths (sample, step 0 .. horizon, path): each is built within its row, so nothing is shuffled."""
+    rows = current.withColumn("_row", F.xxhash64(*keys)).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    move = lambda h: F.col("mu") + F.col("sigma") * _normal(F.col("_row"), F.col("sample"), h, seed)
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.array(F.col("value").cast("double")), lambda p, h: F.concat(p, F.array(F.element_at(p, -1) + move(h))))
+    return rows.select(*current.columns, "sample", F.posexplode(path).alias("step", "path"))
 
 
 def moments(walked: DataFrame, keys: list[str]) -> DataFrame:

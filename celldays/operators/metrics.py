@@ -62,6 +62,26 @@ def average_precision(clean: DataFrame, bins: int = 4096) -> DataFrame:
     return out.select("n_pos", "n_neg", F.when(F.coalesce("n_pos", F.lit(0)) == 0, 0.0).when(F.col("n_neg") == 0, 1.0).otherwise(F.col("ap")).alias("average_precision"))
 
 
+def quantile(df: DataFrame, group: str, value: str, p: float, name: str, bins: int = 4096) -> DataFrame:
+    """(group, name): the exact, linearly interpolated quantile of the known values of each group.
+
+    A histogram of ``bins`` equal steps between a group's limits tells which steps hold the two ranks; only their distinct values are ranked.
+    """
+    n = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = n.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), ((F.sum("n") - 1) * p).alias("h"))
+    step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).otherwise(0).cast("long")
+    placed = n.join(ends, group).withColumn("bin", step)
+    hist = placed.groupBy(group, "bin").agg(F.sum("n").alias("c"), F.max("h").alias("h"))
+    before = F.sum("c").over(Window.partitionBy(group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    low, high = F.floor("h"), F.ceil("h")
+    hist = hist.withColumn("before", before).where(((low >= F.col("before")) & (low < F.col("before") + F.col("c"))) | ((high >= F.col("before")) & (high < F.col("before") + F.col("c"))))
+    near = placed.join(hist.select(group, "bin", "before"), [group, "bin"])
+    end = F.col("before") + F.sum("n").over(Window.partitionBy(group, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda r: F.max(F.when((r >= F.col("end") - F.col("n")) & (r < F.col("end")), F.col("v")))
+    found = near.withColumn("end", end).groupBy(group).agg(at(low).alias("a"), at(high).alias("b"), F.max(F.col("h") - low).alias("f"))
+    return found.select(group, (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias(name))
+
+
 def focal_loss(z: Column, y: Column, gamma: float = 2.0, pos_weight: float = 1.0) -> Column:
     """Focal loss of a logit: (1 - e^-bce)^gamma bce, the stable form of log(1 + e^z)."""
     soft = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))

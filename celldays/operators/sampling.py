@@ -22,8 +22,8 @@ def unit(hashed: Column) -> Column:
 def first_by_hash(df: DataFrame, group: list[str], n: Column | int, keys: list[str], seed: int = 42, place: str | None = None) -> DataFrame:
     """The n rows of each group with the least hash (n a number or a column of the group), all where it has fewer; ``place`` names their rank from 1.
 
-    A histogram of hash ranges finds the range of the cutoff; ranges below it are taken whole, and only that range is
-    ranked, so no group is sorted in one task.
+    A histogram of hash ranges finds the range of each group's cutoff; ranges below it are taken whole, and only that range is
+    ranked, so no group is sorted in one task and only its rows are shuffled. With ``place`` all rows taken are ranked, range by range.
     """
     h = df.withColumn("_h", order_hash(keys, seed)).withColumn("_r", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")).withColumn("_n", F.lit(n) if isinstance(n, int) else n)
     # a null group is a group: nulls are coded for the joins
@@ -31,11 +31,18 @@ def first_by_hash(df: DataFrame, group: list[str], n: Column | int, keys: list[s
     h = h.withColumn("_g", code)
     counts = h.groupBy("_g", "_r").agg(F.count(F.lit(1)).alias("c"))
     end = F.sum("c").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+    if not place:
+        ends = h.groupBy("_g", "_r").agg(F.count(F.lit(1)).alias("c"), F.max("_n").alias("n")).withColumn("end", end)
+        edge = F.min(F.when(F.col("end") >= F.col("n"), F.col("_r")))
+        lines = ends.groupBy("_g").agg(F.coalesce(edge, F.lit(RANGES)).alias("_edge"), F.coalesce(F.max(F.when(F.col("end") < F.col("n"), F.col("end"))), F.lit(0)).alias("_before"))
+        marked = h.join(lines, "_g")
+        last = marked.where(F.col("_r") == F.col("_edge")).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_g").orderBy("_h", *keys))).where(F.col("_rank") <= F.col("_n")).drop("_rank")
+        return marked.where(F.col("_r") < F.col("_edge")).unionByName(last).drop("_h", "_r", "_n", "_g", "_edge", "_before")
     placed = h.join(counts.withColumn("_before", end - F.col("c")).drop("c"), ["_g", "_r"])
     whole = placed.where(F.col("_before") < F.col("_n"))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_g", "_r").orderBy("_h", *keys))
     taken = whole.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_n")).drop("_h", "_r", "_n", "_g", "_before")
-    return taken.withColumnRenamed("_rank", place) if place else taken.drop("_rank")
+    return taken.withColumnRenamed("_rank", place)
 
 
 def weighted_key(weight: Column, hashed: Column) -> Column:
@@ -79,15 +86,16 @@ def redistribute(want: dict[str, int], have: dict[str, int], order: list[str]) -
     """(taken, repeated): shortfalls go round-robin to classes with spare rows in the given order; what is left is drawn again."""
     take = {k: min(n, have.get(k, 0)) for k, n in want.items()}
     lack = sum(want.values()) - sum(take.values())
-    while lack and any(have.get(k, 0) > take[k] for k in order):
-        for k in order:
-            if lack and have.get(k, 0) > take[k]:
-                take[k] += 1
-                lack -= 1
-    again = dict.fromkeys(want, 0)
+    spare = {k: have.get(k, 0) - take[k] for k in order}
+    # whole rounds at once: between two classes running out, every open class gets the same
+    while lack and (open_ := [k for k in order if spare[k]]):
+        rounds = min(lack // len(open_), min(spare[k] for k in open_))
+        for k in open_ if rounds else open_[:lack]:
+            take[k] += rounds or 1
+            spare[k] -= rounds or 1
+            lack -= rounds or 1
     able = [k for k in order if have.get(k, 0)]
-    for i in range(lack if able else 0):
-        again[able[i % len(able)]] += 1
+    again = dict.fromkeys(want, 0) | {k: lack // len(able) + (i < lack % len(able)) for i, k in enumerate(able)}
     return take, again
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,24 +82,34 @@ def weather_codes(daily: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_scan, "cell string, day date, " + ", ".join(f"{c} double" for c in CODES))
 
 
-def _hourly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict = {}
-    for p in batches:
-        out = []
-        for row in p.itertuples(index=False):
-            last = held.get(row.cell, np.nan)
-            with np.errstate(all="ignore"):
-                v = float(fwi.hourly_ffmc(*(np.array([x], float) for x in (last, row.temp, row.rh, row.wind, row.precip)), 1.0, False, NumpyMath)[0])
-            if np.isnan(v):
-                v = row.start if not np.isnan(row.start) and np.isnan(last) else v
-            if not np.isnan(v):
-                held[row.cell] = v
-            out.append(v)
-        yield p[["cell", "ts"]].assign(hffmc=pd.Series(out, index=p.index).where(lambda s: ~s.isna()))
+HOURLY = ["temp", "rh", "wind", "precip", "start"]
+
+
+def _hourly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (cell, hour, inputs) in order of time; rows of one hour are one vector step. A cell without a code takes its start value."""
+    state = _State({"hffmc": np.nan})
+    for b in batches:
+        hours = b.column(1).cast(pa.int64()).to_numpy()
+        at = state.slots(b.column(0).to_pylist())
+        x = {c: b.column(i + 2).to_numpy(zero_copy_only=False).astype(float) for i, c in enumerate(HOURLY)}
+        out = np.empty(len(hours))
+        edges = [0, *(np.flatnonzero(np.diff(hours)) + 1), len(hours)]
+        with np.errstate(all="ignore"):
+            for i, j in zip(edges, edges[1:], strict=False):
+                here = at[i:j]
+                last = state.codes["hffmc"][here]
+                new = fwi.hourly_ffmc(last, *(x[c][i:j] for c in HOURLY[:4]), 1.0, False, NumpyMath)
+                out[i:j] = np.where(np.isnan(last), x["start"][i:j], new)
+                state.keep(here, {"hffmc": out[i:j]})
+        if len(hours):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, mask=np.isnan(out))], ["cell", "ts", "hffmc"])
 
 
 def hourly_codes(hours: DataFrame) -> DataFrame:
-    """(cell, ts, hffmc) of (cell, ts, temp, rh, wind, precip, start): a cell begins at its first hour with a start value."""
-    cols = ["temp", "rh", "wind", "precip", "start"]
-    ordered = hours.select("cell", "ts", *(F.col(c).cast("double") for c in cols)).repartition("cell").sortWithinPartitions("cell", "ts")
-    return ordered.mapInPandas(_hourly, "cell string, ts timestamp, hffmc double").withColumn("hffmc", F.when(~F.isnan("hffmc"), F.col("hffmc")))
+    """(cell, ts, hffmc) of (cell, ts, temp, rh, wind, precip, start): a cell begins at its first hour with a start value.
+
+    Rows of one cell and hour are averaged first, so every cell has one row an hour.
+    """
+    one = hours.where("cell is not null and ts is not null").groupBy("cell", "ts").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in HOURLY))
+    ordered = one.repartition("cell").sortWithinPartitions("ts", "cell")
+    return ordered.mapInArrow(_hourly, "cell string, ts timestamp, hffmc double")

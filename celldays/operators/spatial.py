@@ -98,8 +98,9 @@ def propagate(df: DataFrame, value: str, keys: list[str], rounds: int | None = N
     place = [*keys, "row", "col"]
     missing, done = None, 0
     while rounds is None or done < rounds:
+        if rounds is None or done:
+            df = cut(df)  # a round reads its input twice
         if rounds is None:
-            df = cut(df)
             before, missing = missing, df.where(F.col(value).isNull()).count()
             if missing in (0, before):
                 break
@@ -134,10 +135,13 @@ def mean_fill(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def impute(df: DataFrame, value: str, keys: list[str], reach: int = 100, rounds: int | None = None) -> DataFrame:
-    """The whole chain: 3x3 mean, inverse distance (if reach > 0), nearest propagation (until stable without ``rounds``), mean; stage names the step that filled a cell."""
+    """The whole chain: 3x3 mean, inverse distance (if reach > 0), nearest propagation (until stable without ``rounds``), mean; stage names the step that filled a cell.
+
+    Every stage begins at a checkpoint, so df itself is read once whatever the number of stages and rounds.
+    """
     out = df.withColumn("stage", F.when(F.col(value).isNotNull(), F.lit("observed")))
     chain = [("kernel", lambda x: focal_fill(x, value, keys)), *([("distance", lambda x: inverse_distance_fill(x, value, keys, reach))] if reach else []), ("nearest", lambda x: propagate(x, value, keys, rounds)), ("mean", lambda x: mean_fill(x, value, keys))]
     for name, step in chain:
-        out = step(out)
+        out = step(cut(out))  # a stage reads its input up to three times
         out = out.withColumn("stage", F.when(F.col("stage").isNull() & F.col(value).isNotNull(), F.lit(name)).otherwise(F.col("stage")))
     return out

@@ -60,18 +60,39 @@ def window_features(joined: DataFrame, keys: list[str], methods: dict[str, str],
     return joined.groupBy(*keys, "window_id").agg(*aggs)
 
 
-def forward_fill(df: DataFrame, value: str, keys: list[str], order: str, name: str | None = None) -> DataFrame:
-    """Each row takes the last known value up to it; one entity's series per partition."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name or value, F.last(value, True).over(w))
+def forward_fill(df: DataFrame, value: str, keys: list[str], order: str, name: str | None = None, block: Column | None = None) -> DataFrame:
+    """Each row takes the last known value up to it.
 
-
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
-    """Left rows with the last right value at or before their time: a union ordered by time instead of a theta join."""
+    Without ``block`` an entity's whole series is one partition. block: a span of time that never decreases along the order (a day, a month); then a partition is
+    one span of an entity, and what the spans before it hand on comes from one row per span, so a hot entity is spread over its spans.
+    """
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name or value, F.last(value, True).over(w))
+    t = df.withColumn("_block", block)
+    known = F.col(value).isNotNull()
+    ends = t.groupBy(*keys, "_block").agg(F.max_by(F.when(known, F.col(value)), F.when(known, F.col(order))).alias("_end"))
+    carried = F.last("_end", True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_block").alias("_b"), carried.alias("_before"))
+    on = t["_block"].eqNullSafe(F.col("_b"))
+    for k in keys:
+        on = on & t[k].eqNullSafe(F.col(f"_{k}"))
+    w = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = t.join(ends, on, "left").withColumn("_out", F.coalesce(F.last(value, True).over(w), F.col("_before")))
+    return filled.select(*(c for c in df.columns if c != (name or value)), F.col("_out").alias(name or value))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, block: str | None = None) -> DataFrame:
+    """Left rows with the last right value at or before their time: a union ordered by time instead of a theta join.
+
+    block: a unit of time (day, month); a partition is then one such span of an entity instead of its whole series.
+    """
     r = right.select(*keys, F.col(right_time).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
     both = left.withColumns({"_t": F.col(left_time), "_v": F.lit(None), "_side": F.lit(1)}).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", True).over(w)).where("_side = 1").select(*left.columns, value)
+    # a right row without a value is no news: the last known one holds
+    both = both.withColumn("_o", F.struct("_t", "_side"))
+    filled = forward_fill(both, "_v", keys, "_o", value, F.date_trunc(block, "_t") if block else None)
+    return filled.where("_side = 1").select(*left.columns, value)
 
 
 def pseudo_daily(windows: DataFrame, size: int = 16, count: int = 4) -> DataFrame:

@@ -104,14 +104,14 @@ def _(s, d):
 
 @q("a14_window_aggregates", f"""with {CELL_DAYS}, sa as (select "row", col, day as target_date from cd where fire = 1),
  j as (select sa."row", sa.col, target_date, ((target_date - day - 1) // 16 + 1)::int as window_id, day, temp, precip, wind, rh from sa join cd on cd."row" = sa."row" and cd.col = sa.col and target_date - day between 1 and 64)
- select "row", col, target_date, window_id, case when count(*) >= 3 then round(avg(temp), 6) end as temp, case when count(*) >= 3 then round(sum(precip), 6) end as precip, case when count(*) >= 3 then round(max(wind), 6) end as wind,
-  case when count(*) >= 3 then round(list_reduce(list(rh order by day), lambda a, x: 0.3 * x + (1 - 0.3) * a), 6) end as rh from j group by all""")
+ select "row", col, target_date, window_id, case when count(*) >= 3 then round(avg(temp) + 1e-9, 6) end as temp, case when count(*) >= 3 then round(sum(precip) + 1e-9, 6) end as precip, case when count(*) >= 3 then round(max(wind) + 1e-9, 6) end as wind,
+  case when count(*) >= 3 then round(list_reduce(list(rh order by day), lambda a, x: 0.3 * x + (1 - 0.3) * a) + 1e-9, 6) end as rh from j group by all""")
 def _(s, d):
     c = cell_days(s, d)
     sa = c.where("fire = 1").select("row", "col", F.col("day").alias("target_date"))
     keys = ["row", "col", "target_date"]
     w = window_features(window_ids(sa, c.drop("fire"), ["row", "col"], 16), keys, {"temp": "mean", "precip": "sum", "wind": "max", "rh": "ema"}, alpha=0.3, least=3)
-    return w.withColumns({c: F.round(c, 6) for c in ("temp", "precip", "wind", "rh")})
+    return w.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("temp", "precip", "wind", "rh")})  # exact halves round alike in every order of the sums
 
 
 _W = ", ".join(f"avg({c}::double) filter (where window_id = {k} and {c} is not null and not isnan({c}) and not isinf({c})) as w{k}_{c}" for c in ("aet", "fwi") for k in range(1, 5))
@@ -181,11 +181,11 @@ def _(s, d):
     return M.average_precision(scores(s, d)).withColumn("average_precision", F.round("average_precision", 9))
 
 
-@q("a23_a24_channel_moments", "select i::int as channel, round(avg(embedding[i + 1]), 6) as mean, round(var_pop(embedding[i + 1]), 6) as variance, round(quantile_cont(embedding[i + 1]::double, 0.995), 6) as q995 from embeddings, range(0, 8) r(i) group by all")
+@q("a23_a24_channel_moments", "select i::int as channel, round(avg(embedding[i + 1]), 6) as mean, round(var_pop(embedding[i + 1]), 6) as variance, round(quantile_cont(embedding[i + 1]::double, 0.995), 6) as q995 from embeddings, range(0, 64) r(i) group by all")
 def _(s, d):
-    e = table(s, d, "embeddings").select(F.posexplode(F.slice("embedding", 1, 8)).alias("channel", "v"))
-    v = F.col("v").cast("double")
-    return e.groupBy("channel").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.var_pop(v), 6).alias("variance"), F.round(F.percentile(v, F.lit(0.995)), 6).alias("q995"))
+    e = table(s, d, "embeddings").select(F.posexplode("embedding").alias("channel", "v")).withColumn("v", F.col("v").cast("double"))
+    m = e.groupBy("channel").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.var_pop("v"), 6).alias("variance"))
+    return m.join(M.quantile(e, "channel", "v", 0.995, "q995"), "channel", "left").withColumn("q995", F.round("q995", 6))
 
 
 @q("a25_daily_means_and_snapshot", f'with {CELL_DAYS} select col, round(avg(temp) filter (where "row" = 0), 6) as r0, round(avg(temp) filter (where "row" = 1), 6) as r1, round(avg(temp) filter (where "row" = 2), 6) as r2 from cd where day between date \'1996-01-01\' and date \'1996-01-31\' group by 1')
@@ -206,9 +206,9 @@ def _(s, d):
     return f.groupBy("window_id").agg(*(F.round(F.avg(F.abs(F.col(c).cast("double"))), 6).alias(c) for c in ("fwi", "pdsi")))
 
 
-@q("a28_masked_scores", "select vec_id, i::int as pixel, round(embedding[i + 1]::double, 6) as p from embeddings, range(0, 16) r(i) where embedding[i + 1] > 0")
+@q("a28_masked_scores", "select vec_id, i::int as pixel, round(embedding[i + 1]::double, 6) as p from embeddings, range(0, 64) r(i) where embedding[i + 1] > 0")
 def _(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("pixel", "p"))
+    e = table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pixel", "p"))
     return e.where("p > 0").withColumn("p", F.round(F.col("p").cast("double"), 6))
 
 

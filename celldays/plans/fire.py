@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from celldays.functions import fbp, fwi
-from celldays.functions.lawson import diurnal_ffmc
+from celldays.functions.lawson import Tables, diurnal_ffmc
 from celldays.plans.base import CELL_DAYS, OBS, Registry, obs
 from celldays.plans.windows import codes
 
@@ -114,10 +116,23 @@ def _(s, d):
     return weather(s, d).select(*IDS, R(fwi.hourly_ffmc(*map(F.col, ("f0", "temp", "rh", "wind", "precip")))).alias("ffmc"))
 
 
+def stand_in_tables(step: float = 5.0) -> Tables:
+    """Tables of the published shape but not the published values, which are not restated here: a daily cosine around 17:00 whose swing shrinks with the code, lifted or lowered by humidity class."""
+    axis = [17.5, *(20 + step * i for i in range(int(80 / step) + 1)), 101.0]
+
+    def rows(hours, lift: float) -> dict[int, list[float]]:
+        swing = lambda h: (1 - math.cos(2 * math.pi * (h - 17) / 24)) / 2
+        return {h: [max(0.0, min(101.0, f + lift - swing(h) * (101 - f) * 0.45)) for f in axis] for h in hours}
+
+    morning = range(6, 13)
+    limits = {h: (90 - 6 * (h - 6), 98 - 4 * (h - 6)) for h in morning}
+    return Tables(axis, rows([*range(12, 25), *range(1, 6)], 0.0), rows(morning, 4.0), rows(morning, 0.0), rows(morning, -4.0), limits)
+
+
 @q("fw10_diurnal_ffmc")
 def _(s, d):
     w = weather(s, d).withColumn("hour", (F.col("m") * 2 + 1).cast("int")).withColumn("minute", (F.col("m") * 5 % 60).cast("int"))
-    return diurnal_ffmc(w.withColumn("ffmc", F.col("f0")))
+    return diurnal_ffmc(w.withColumn("ffmc", F.col("f0")), stand_in_tables())
 
 
 _STEP = f"""{ffmc_sql("(select o.cell, o.k, o.day, o.m, o.lat, o.temp, o.rh, o.wind, o.precip, p.f as f0, p.dm as d0, p.dr as c0 from o join st p on p.cell = o.cell and o.k = p.k + 1)")}"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from celldays.operators import models as ML
@@ -9,7 +10,7 @@ from celldays.operators.features import wide
 from celldays.operators.metrics import average_precision
 from celldays.operators.quality import complete_keys, nulls_for_gaps
 from celldays.plans.base import Registry, features, obs
-from celldays.session import checkpoint_dir, table
+from celldays.session import checkpoint_dir, cut, table
 from celldays.sources import readers as RD
 from celldays.sources import sinks as SK
 from celldays.streaming.online import minute_counts, online_codes
@@ -26,7 +27,7 @@ def samples(s, d):
     return x.join(y, KEY).na.fill(0.0, COLS)
 
 
-_LAYERS = ML.fixed_layers([4, 6, 1])
+_LAYERS = ML.fixed_layers([64, 6, 1])
 
 
 def _layer_sql(src: list[str], i: int) -> list[str]:
@@ -34,14 +35,14 @@ def _layer_sql(src: list[str], i: int) -> list[str]:
     return [f"({b[r]!r} + " + " + ".join(f"{src[c]} * {w[r][c]!r}" for c in range(len(src))) + ")" for r in range(len(w))]
 
 
-_X = [f"embedding[{i}]::double" for i in range(1, 5)]
+_X = [f"embedding[{i}]::double" for i in range(1, 65)]
 _HIDDEN = ", ".join(f"{e} as h{i}" for i, e in enumerate(_layer_sql(_X, 0)))
 _GELU = ", ".join(f"0.5 * h{i} * (1 + tanh(0.7978845608028654 * (h{i} + 0.044715 * h{i} * h{i} * h{i}))) as g{i}" for i in range(6))
 
 
 @q("m05_mlp_forward", f"with a as (select vec_id, {_HIDDEN} from embeddings), g as (select vec_id, {_GELU} from a) select vec_id, round(1 / (1 + exp(-{_layer_sql([f'g{i}' for i in range(6)], 1)[0]})), 8) as probability from g")
 def _(s, d):
-    x = table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("x"))
+    x = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     return ML.mlp(x, "x", _LAYERS).select("vec_id", F.round("probability", 8).alias("probability"))
 
 
@@ -63,9 +64,10 @@ def _(s, d):
 
 @q("m08_permutation_importance")
 def _(s, d):
-    t = samples(s, d)
-    predict = lambda x: ML.mlp(x.withColumn("x", F.array(*COLS[:4])), "x", _LAYERS, "y_prob")
-    return ML.permutation_importance(t.withColumn("y", F.col("label").cast("int")).drop("label"), COLS[:4], predict, "y", KEY)
+    t = cut(samples(s, d))
+    model = ML.perceptron(t, COLS)
+    predict = lambda x: model.transform(x.na.fill(0.0, COLS)).withColumn("y_prob", vector_to_array("probability")[1])
+    return ML.permutation_importance(t.withColumn("y", F.col("label").cast("int")), COLS, predict, "y", KEY)
 
 
 @q("s04_s05_band_columns", "select user_id, (event_type || '_' || strftime(day, '%Y%m%d')) as band, event_type as suffix, day, v from (select user_id, event_type, ts::date as day, round(avg(value), 6) as v from events group by all) where event_type in ('view', 'click')")
@@ -127,9 +129,9 @@ def _(s, d):
     return SK.compacted(s, out, f"{out}-one").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("k10_pixel_export", "select vec_id, i::int as pixel, (label % 2)::int as y_true, round(embedding[i + 1]::double, 6) as prob from embeddings, range(0, 4) r(i)")
+@q("k10_pixel_export", "select vec_id, i::int as pixel, (label % 2)::int as y_true, round(embedding[i + 1]::double, 6) as prob from embeddings, range(0, 64) r(i)")
 def _(s, d):
-    t = table(s, d, "embeddings").select("vec_id", (F.col("label") % 2).cast("int").alias("y_true"), F.posexplode(F.slice("embedding", 1, 4)).alias("pixel", "prob"))
+    t = table(s, d, "embeddings").select("vec_id", (F.col("label") % 2).cast("int").alias("y_true"), F.posexplode("embedding").alias("pixel", "prob"))
     return t.select("vec_id", "pixel", "y_true", F.round(F.col("prob").cast("double"), 6).alias("prob"))
 
 
@@ -148,7 +150,7 @@ def _(s, d):
 
 @q("st02_online_codes")
 def _(s, d):
-    o = obs(s, d).groupBy(F.concat_ws("_", "row", "col").alias("cell"), "day").agg(*(F.avg(c).alias(c) for c in ("temp", "rh", "wind", "precip")), F.lit(45.0).alias("lat")).where("day < date'1995-04-01'")
+    o = obs(s, d).groupBy(F.concat_ws("_", "row", "col").alias("cell"), "day").agg(*(F.avg(c).alias(c) for c in ("temp", "rh", "wind", "precip")), F.lit(45.0).alias("lat"))
     return online_codes(s, o, checkpoint_dir(s))
 
 

@@ -83,7 +83,8 @@ def _(s, d):
     return s.createDataFrame(list(SA.quotas(n, {"0A": 1, "0B": 1, "0C": 2, "0D": 1}).items()), "class_name string, quota long")
 
 
-@q("t09_redistribution")
+@q("t09_redistribution", """with c as (select event_type, count(*) as n, row_number() over (order by event_type) as k from events group by 1), t as (select count(*) as m, greatest(1, sum(n) // 4)::bigint as w, sum(n)::bigint as s from c)
+ select event_type as class_name, w as wanted, n as available, n as taken, (m * w - s) // m + (k <= (m * w - s) % m)::bigint as repeated from c, t""")
 def _(s, d):
     have = {r[0]: r[1] for r in table(s, d, "events").groupBy("event_type").count().collect()}
     want = {k: max(1, sum(have.values()) // 4) for k in sorted(have)}

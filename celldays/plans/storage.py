@@ -45,10 +45,10 @@ def _(s, d):
     return t.where("value is not null and not isnan(value)").groupBy(F.col("band").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("s19_manifest", 'select aoi_id, "rows" as n_rows, cols as n_cols, x_min, y_max from grid_meta where aoi_id <= 5 and "rows" is not null')
+@q("s19_manifest", 'select aoi_id, "rows" as n_rows, cols as n_cols, x_min, y_max from grid_meta where "rows" is not null')
 def _(s, d):
     out = folder(s, "manifest")
-    SK.to_json(table(s, d, "grid_meta").where("aoi_id <= 5 and rows is not null"), out)
+    SK.to_json(table(s, d, "grid_meta").where("rows is not null"), out)
     m = RD.read_json(s, out, "aoi_id int, rows int, cols int, x_min double, y_max double")
     return m.select("aoi_id", F.col("rows").alias("n_rows"), F.col("cols").alias("n_cols"), "x_min", "y_max")
 

@@ -110,7 +110,15 @@ def _(s, d):
     return SP.propagate(holes(s, d), "value", ["m"], 1)
 
 
-@q("w7_nearest_propagation")
+def _spread(first: str, rounds: int, value: str = "value") -> str:
+    """Rounds of nearest propagation as a chain of tables p0 .. p<rounds>; more rounds than a table needs change nothing."""
+    step = lambda i: f"""p{i} as materialized (select a.m, a."row", a.col, coalesce(a.value, k.near) as value from p{i - 1} a left join (
+   select a.m, a."row", a.col, arg_min(b.value, {_RANK}) as near from p{i - 1} a cross join (select * from range(-1, 2) x(dr), range(-1, 2) y(dc) where dr <> 0 or dc <> 0) o
+   join p{i - 1} b on b.m = a.m and b."row" = a."row" + dr and b.col = a.col + dc where a.value is null and b.value is not null group by all) k using (m, "row", col))"""
+    return f"p0 as materialized ({first}), " + ", ".join(map(step, range(1, rounds + 1)))
+
+
+@q("w7_nearest_propagation", f"""with {_HOLES}, {_spread('select m, "row", col, case when "row" % 4 = 0 then value end as value from h', 12)} select m, "row", col, value from p12""")
 def _(s, d):
     return SP.propagate(holes(s, d).withColumn("value", F.when(F.col("row") % 4 == 0, F.col("value"))), "value", ["m"])
 
@@ -138,10 +146,23 @@ def gaps(s, d):
     return cells.join(o, ["m", "row", "col"], "left").select("m", "row", "col", F.when(known, F.col("temp")).alias("value"))
 
 
-@q("w10_imputation_chain")
+_CHAIN = f"""with {OBS}, ends as (select min(day) as a, max(day) as z from obs), t0 as (select n % 3 as m, (day - a)::int as "row", col, avg(temp) as temp from obs, ends group by all),
+ g as materialized (select c.m::int as m, r."row"::int as "row", k.col::int as col, case when c.m > 0 and r."row" not between 1000 and 1210 and (r."row" * 7 + k.col * 3) % 5 > 1 then temp end as value
+   from range(0, 3) c(m) cross join (select unnest(range(0, (select (z - a)::int + 1 from ends))) as "row") r cross join range(0, 10) k(col) left join t0 on t0.m = c.m and t0."row" = r."row" and t0.col = k.col),
+ k1 as materialized (select a.m, a."row", a.col, coalesce(any_value(a.value), avg(b.value)) as value from g a left join g b on b.m = a.m and b."row" between a."row" - 1 and a."row" + 1 and b.col between a.col - 1 and a.col + 1 and a.value is null and b.value is not null group by a.m, a."row", a.col),
+ hole as (select * from k1 where value is null),
+ idw as materialized (select a.m, a."row", a.col, sum(b.value / ((a."row" - b."row") ** 2 + (a.col - b.col) ** 2)) / sum(1.0 / ((a."row" - b."row") ** 2 + (a.col - b.col) ** 2)) as v
+   from hole a join k1 b on b.m = a.m and b."row" between a."row" - 100 and a."row" + 100 and b.value is not null and (a."row" - b."row") ** 2 + (a.col - b.col) ** 2 <= 10000 group by all),
+ {_spread('select m, "row", col, coalesce(value, v) as value from k1 left join idw using (m, "row", col)', 12)},
+ e as (select m, "row", col, g.value as v0, k1.value as v1, p0.value as v2, p12.value as v3 from g join k1 using (m, "row", col) join p0 using (m, "row", col) join p12 using (m, "row", col)),
+ f as (select m, coalesce(v3, avg(v3) over (partition by m), 0) as value, case when v0 is not null then 'observed' when v1 is not null then 'kernel' when v2 is not null then 'distance' when v3 is not null then 'nearest' else 'mean' end as stage from e)
+select m, stage, count(*) as n, round(avg(value), 5) as mean from f group by all"""
+
+
+@q("w10_imputation_chain", _CHAIN)
 def _(s, d):
     t = SP.impute(gaps(s, d), "value", ["m"])
-    return t.groupBy("m", "stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return t.groupBy("m", "stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 5).alias("mean"))
 
 
 @q("w11_pseudo_daily", f'with {HISTORY} select aoi_id, "row", col, i::int as i, round(value, 6) as value from h')
@@ -190,7 +211,7 @@ def _(s, d):
 @q("w16_forward_fill", "with e as (select event_id, user_id, ts, case when event_type = 'click' then value end as v from events) select event_id, last_value(v ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as filled from e")
 def _(s, d):
     e = table(s, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("o"), F.when(F.col("event_type") == "click", F.col("value")).alias("v"))
-    return forward_fill(e, "v", ["user_id"], "o", "filled").select("event_id", "filled")
+    return forward_fill(e, "v", ["user_id"], "o", "filled", F.to_date("o.ts")).select("event_id", "filled")
 
 
 @q("w17_first_valid", "with f as (select user_id, min(ts) as first from events where event_type = 'click' group by 1) select event_id from events join f using (user_id) where ts >= first")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from celldays.functions import fwi
-from celldays.functions.backends import NumpyMath
+from celldays.operators.scan import CODES as DAILY
+from celldays.operators.scan import INPUTS, _codes
 
 CODES = "cell string, day date, ffmc double, dmc double, dc double, isi double, bui double, fwi double"
 
@@ -41,30 +42,48 @@ def minute_counts(spark: SparkSession, path: str, folder: str, width: str, late:
     return spark.read.parquet(f"{run}/out").groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
+BUCKETS = 64
+STATE = "cells array<string>, days array<int>, ffmc array<double>, dmc array<double>, dc array<double>"
+
+
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = dict(zip(("ffmc", "dmc", "dc"), state.get if state.exists else (85.0, 6.0, 15.0), strict=True))
-    p = pd.concat(list(frames)).sort_values("day")
-    out, m = [], NumpyMath
-    for r in p.itertuples(index=False):
-        one = lambda x: np.array([x], float)
-        month = np.array([pd.Timestamp(r.day).month])
-        with np.errstate(all="ignore"):
-            a = fwi.daily_ffmc(one(held["ffmc"]), one(r.temp), one(r.rh), one(r.wind), one(r.precip), m)
-            b = fwi.daily_dmc(one(held["dmc"]), one(r.temp), one(r.rh), one(r.precip), month, one(r.lat), True, m)
-            c = fwi.daily_dc(one(held["dc"]), one(r.temp), one(r.precip), month, one(r.lat), True, m)
-            i, u = fwi.daily_isi(one(r.wind), a, False, m), fwi.daily_bui(b, c, m)
-            row = {"ffmc": a[0], "dmc": b[0], "dc": c[0], "isi": i[0], "bui": u[0], "fwi": fwi.daily_fwi(i, u, m)[0]}
-        held.update({k: float(row[k]) for k in held if not np.isnan(row[k])})
-        out.append({"cell": key[0], "day": r.day, **row})
-    state.update(tuple(held.values()))
-    yield pd.DataFrame(out)
+    """Days of one bucket of cells in order, a day of all cells being one vector step; a day not after the cell's last is late and gets missing codes."""
+    cells, days, *old = state.get if state.exists else ([], [], [], [], [])
+    place, last = {c: i for i, c in enumerate(cells)}, np.array(days, np.int64)
+    codes = {k: np.array(v, float) for k, v in zip(fwi.START, old, strict=True)}
+    p = pd.concat(list(frames)).sort_values(["day", "cell"], kind="stable")
+    at = np.fromiter((place.setdefault(c, len(place)) for c in p["cell"]), int, len(p))
+    fresh = len(place) - len(last)
+    last = np.concatenate([last, np.full(fresh, -(2**31))])
+    codes = {k: np.concatenate([v, np.full(fresh, fwi.START[k])]) for k, v in codes.items()}
+    day = p["day"].to_numpy().astype("datetime64[D]")
+    number, months = day.astype(np.int64), day.astype("datetime64[M]").astype(int) % 12 + 1
+    x = {c: p[c].to_numpy(float) for c in INPUTS}
+    out = {c: np.full(len(p), np.nan) for c in DAILY}
+    edges = [0, *(np.flatnonzero(np.diff(number)) + 1), len(p)]
+    with np.errstate(all="ignore"):
+        for i, j in zip(edges, edges[1:], strict=False):
+            rows = np.arange(i, j)[last[at[i:j]] < number[i]] if j > i else np.empty(0, int)
+            rows = rows[np.unique(at[rows], return_index=True)[1]]  # the first of repeated rows of a day counts
+            if len(rows):
+                here = at[rows]
+                new = _codes({k: v[here] for k, v in codes.items()}, {c: v[rows] for c, v in x.items()}, months[i])
+                for k in codes:
+                    codes[k][here] = np.where(np.isnan(new[k]), codes[k][here], new[k])
+                for c in DAILY:
+                    out[c][rows] = new[c]
+                last[here] = number[i]
+    state.update(([*place], last.tolist(), *(v.tolist() for v in codes.values())))
+    yield pd.DataFrame({"cell": p["cell"].to_numpy(), "day": p["day"].to_numpy(), **out})
 
 
 def online_codes(spark: SparkSession, daily: DataFrame, folder: str) -> DataFrame:
-    """Codes of daily rows (cell, day, temp, rh, wind, precip, lat) that arrive as a stream: state is three numbers a cell."""
+    """Codes of daily rows (cell, day, temp, rh, wind, precip, lat) that arrive as a stream: state is a day and three numbers a cell, kept by bucket of cells."""
     run = f"{folder}/online-{uuid.uuid4().hex}"
     daily.write.parquet(f"{run}/in")
-    stream = spark.readStream.schema(daily.schema).parquet(f"{run}/in")
-    codes = stream.groupBy("cell").applyInPandasWithState(_advance, CODES, "ffmc double, dmc double, dc double", "append", GroupStateTimeout.NoTimeout)
+    stream = spark.readStream.schema(daily.schema).parquet(f"{run}/in").where("cell is not null and day is not null")
+    keyed = stream.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(BUCKETS)))
+    codes = keyed.groupBy("bucket").applyInPandasWithState(_advance, CODES, STATE, "append", GroupStateTimeout.NoTimeout)
     drained(codes.writeStream.outputMode("append").format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start())
-    return spark.read.schema(CODES).parquet(f"{run}/out")
+    t = spark.read.schema(CODES).parquet(f"{run}/out")
+    return t.select("cell", "day", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in DAILY))

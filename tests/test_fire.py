@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from celldays.functions import fbp, fwi
 from celldays.functions.backends import NumpyMath as N
-from celldays.functions.lawson import diurnal_ffmc, diurnal_tables
+from celldays.functions.lawson import diurnal_ffmc, read_tables
+from celldays.plans.fire import stand_in_tables
 from celldays.operators.scan import weather_codes
 
 
@@ -68,7 +69,7 @@ def test_behaviour_edges(spark):
 def test_diurnal(spark):
     df = spark.createDataFrame([(90.0, 50.0, 16, 0), (90.0, 50.0, 16, 30), (90.0, None, 16, 0), (None, 50.0, 16, 0), (200.0, 0.0, 8, 15), (90.0, 50.0, 0, 30)], "ffmc double, rh double, hour int, minute int")
     got = [r["diurnal_ffmc"] for r in diurnal_ffmc(df).collect()]
-    t = diurnal_tables()
+    t = stand_in_tables()
     at = lambda h: float(np.interp(90.0, t.axis, t.main[h]))
     assert got[0] == pytest.approx(at(16)) and got[1] == pytest.approx((at(16) + at(17)) / 2)
     assert got[2] is None and got[3] is None and got[4] == pytest.approx(101.0) and got[5] == pytest.approx((at(24) + at(1)) / 2)
