@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from celldays.functions.reading import in_range
+from celldays.session import cut
 
 CELL = ["aoi_id", "row", "col"]
 SAMPLE = ["aoi_id", "target_date", "row", "col"]
@@ -56,13 +57,16 @@ def _beside(value: str, by: list[str], order: str) -> tuple[Column, Column]:
 
 
 def common_windows(features: DataFrame, windows: int = WINDOWS) -> DataFrame:
-    """(aoi_id, area_window, all_window): the most frequent window of each area and of all records; ties go to the newer window."""
-    n = features.where(F.col("window_id").between(1, windows)).groupBy("aoi_id", "window_id").agg(F.count(F.lit(1)).alias("n"))
-    best = lambda t, by: t.groupBy(*by).agg(F.max_by("window_id", F.struct("n", -F.col("window_id"))).alias("w"))
-    area = best(n, ["aoi_id"]).select("aoi_id", F.col("w").alias("area_window"))
-    # one row in all
-    every = best(n.groupBy("window_id").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select("one", F.col("w").alias("all_window"))
-    return area.withColumn("one", F.lit(1)).join(F.broadcast(every), "one", "full").select("aoi_id", "area_window", "all_window")
+    """(aoi_id, area_window, all_window) of every area: the most frequent window of the area and of all records; ties go to the newer window."""
+    w = F.when(F.col("window_id").between(1, windows), F.col("window_id"))
+    n = features.groupBy("aoi_id", w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per window, so the window over all of them is small and the table may be broadcast
+    ids = features.sparkSession.range(1, windows + 1).select(F.col("id").cast("int").alias("w"))
+    total = ids.join(n.groupBy("w").agg(F.sum("n").alias("n")), "w", "left")
+    total = total.select(F.col("w").alias("_w"), F.max_by(F.when(F.col("n").isNotNull(), F.col("w")), F.when(F.col("n").isNotNull(), F.struct("n", -F.col("w")))).over(Window.partitionBy(F.lit(0))).alias("all_window"))
+    every = n.join(F.broadcast(total), F.coalesce("w", F.lit(1)) == F.col("_w"))
+    known = F.when(F.col("w").isNotNull(), F.struct("n", -F.col("w")))
+    return every.groupBy("aoi_id").agg(F.max_by("w", known).alias("area_window"), F.max("all_window").alias("all_window"))
 
 
 def carried_windows(features: DataFrame, windows: int = WINDOWS, max_gap_days: int = GAP_DAYS) -> DataFrame:
@@ -97,14 +101,12 @@ def fill_windows(features: DataFrame, windows: int = WINDOWS, max_gap_days: int
     todo = features.where(_gone(F.col("window_id")) & F.col("feat_id").isNotNull()).select("feat_id", *SAMPLE)
     ranks = first_ranks(todo.where(_whole()), SAMPLE, "feat_id", windows).select("feat_id", "rank")
     out = todo.join(ranks, "feat_id", "left").join(carried_windows(features, windows, max_gap_days), SAMPLE, "left")
-    common = common_windows(features, windows)
-    # one row of the table of areas has the window of all records, whatever its area
-    every = common.groupBy(F.lit(1).alias("one")).agg(F.max("all_window").alias("all_window"))
-    out = out.join(common.drop("all_window").where("aoi_id is not null"), "aoi_id", "left").withColumn("one", F.lit(1)).join(F.broadcast(every), "one", "left")
+    common = common_windows(features, windows).withColumnRenamed("aoi_id", "_aoi")
+    out = out.join(common, F.col("aoi_id").eqNullSafe(F.col("_aoi")), "left")
     steps = [
         ("absent", F.when(F.col("rank") <= F.size("absent"), F.try_element_at("absent", F.col("rank"))), F.lit(0)),
         ("carry", F.col("carried"), F.col("distance")),
-        ("area", F.col("area_window"), F.lit(None)),
+        ("area", F.when(F.col("aoi_id").isNotNull(), F.col("area_window")), F.lit(None)),
         ("all", F.col("all_window"), F.lit(None)),
     ]
     found = F.coalesce(*(F.when(w.isNotNull(), F.struct(w.cast("int").alias("window_id"), F.lit(name).alias("method"), d.cast("int").alias("distance"))) for name, w, d in steps))
@@ -182,6 +184,6 @@ def numeric_fills(features: DataFrame, windows: DataFrame, catalog: DataFrame, c
 
 def fill(features: DataFrame, catalog: DataFrame, columns: list[str], max_gap_days: int = GAP_DAYS) -> DataFrame:
     """(feat_id, column_name, filled, method, distance): one row per value filled, numerics and window_id alike."""
-    windows = fill_windows(features, WINDOWS, max_gap_days)
+    windows = cut(fill_windows(features, WINDOWS, max_gap_days))  # the few rows without a window, read twice below
     named = windows.select("feat_id", F.lit("window_id").alias("column_name"), F.col("window_id").cast("double").alias("filled"), "method", "distance")
     return numeric_fills(features, windows, catalog, columns, max_gap_days).unionByName(named)
