@@ -75,3 +75,23 @@ def albers(lon: Column, lat: Column, lat1: float, lat2: float, lat0: float, lon0
     rho0 = radius * sqrt(c - 2 * n * sin(radians(lat0))) / n
     rho, theta = radius * F.sqrt(c - 2 * n * F.sin(F.radians(lat))) / n, n * F.radians(lon - lon0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def rasterise(points: DataFrame, g: Grid, x: str, y: str, day: str, dynamic: list[str] = (), static: list[str] = (), monthly: list[str] = ()) -> DataFrame:
+    """(kind, feature, day, month, row, col, value): all layers of observations in one call and one pass.
+
+    Dynamic features are averaged per cell and day, static ones per cell, monthly ones per cell and month of the year. Points are reduced to sums per cell and day first,
+    from which all three follow, so the observations are shuffled once. Points outside the grid, without coordinates or without a day (but for static features) don't
+    count, nor do null, NaN and infinite values.
+    """
+    names = list(dict.fromkeys([*dynamic, *static, *monthly]))
+    v = {c: F.col(c).cast("double") for c in names}
+    good = {c: F.when(~F.isnan(v[c]) & (F.abs(v[c]) < float("inf")), v[c]) for c in names}
+    daily = place(points, x, y, g).groupBy("row", "col", F.to_date(day).alias("day")).agg(*(F.sum(good[c]).alias(f"s_{c}") for c in names), *(F.count(good[c]).alias(f"n_{c}") for c in names))
+    none = {"day": F.lit(None).cast("date"), "month": F.lit(None).cast("int")}
+    layers = F.array(*(
+        F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("feature"), *(held.get(k, e).alias(k) for k, e in none.items()), F.col(f"s_{c}").alias("s"), F.col(f"n_{c}").alias("n"))
+        for kind, wanted, held in (("dynamic", dynamic, {"day": F.col("day")}), ("static", static, {}), ("monthly", monthly, {"month": F.month("day")})) for c in wanted
+    ))
+    rows = daily.select("row", "col", F.inline(layers)).where("n > 0 and (kind = 'static' or day is not null or month is not null)")
+    return rows.groupBy("kind", "feature", "day", "month", "row", "col").agg((F.sum("s") / F.sum("n")).alias("value"))
