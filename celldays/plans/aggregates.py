@@ -9,6 +9,7 @@ from celldays.operators.features import tensor_stats, wide
 from celldays.operators.forecast import noise, window_means
 from celldays.operators.grid import mean_per
 from celldays.operators.quality import any_missing, missing_per_feature, missing_per_window, nulls_for_gaps, pairwise_shares, share_of_all
+from celldays.operators.relational import masked_scores
 from celldays.operators.splits import by_ranges, conflicts
 from celldays.operators.windows import pseudo_daily, window_features, window_ids
 from celldays.plans.base import CELL_DAYS, OBS, Registry, cell_days, features, obs
@@ -208,8 +209,8 @@ def _(s, d):
 
 @q("a28_masked_scores", "select vec_id, i::int as pixel, round(embedding[i + 1]::double, 6) as p from embeddings, range(0, 64) r(i) where embedding[i + 1] > 0")
 def _(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pixel", "p"))
-    return e.where("p > 0").withColumn("p", F.round(F.col("p").cast("double"), 6))
+    e = table(s, d, "embeddings").select("vec_id", "embedding", F.transform("embedding", lambda v: v > 0).alias("mask"))
+    return masked_scores(e, ["vec_id"], "embedding", "mask").withColumn("p", F.round(F.col("p").cast("double"), 6))
 
 
 @q("a29_rows_per_range", "select case when o_orderdate::date between date '1995-01-01' and date '1997-12-31' then 'train' when o_orderdate::date between date '1998-01-01' and date '1999-06-30' then 'val' else 'test' end as split, count(*) as n from orders where o_orderdate::date between date '1995-01-01' and date '2000-12-31' group by 1")

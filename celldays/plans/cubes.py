@@ -56,10 +56,10 @@ def _(s, d):
     return RA.merged(parts, ["day", "lat", "lon"]).select("day", "lat", "lon", F.round("temperature", 6).alias("temperature"), F.round("humidity", 6).alias("humidity"))
 
 
-@q("s02_time_chunks", f"""with {_AXES} select ax.day, count(*) as places, count(temp) as n, round(avg(temp), 5) as temp from ax left join cd on cd.day = ax.day and cd."row" = ax."row" and cd.col = ax.col where ax.day between date '1996-03-05' and date '1997-02-10' group by 1""")
+@q("s02_time_chunks", f"""with {_AXES} select ax.day, count(*) as places, count(temp) as n, round(avg(temp) + 1e-9, 5) as temp from ax left join cd on cd.day = ax.day and cd."row" = ax."row" and cd.col = ax.col where ax.day between date '1996-03-05' and date '1997-02-10' group by 1""")
 def _(s, d):
     t = RA.netcdf_rows(gridded(s, d, ["temp", "wind"]), {"temp": "temp"}, chunk=30, first=date(1996, 3, 5), last=date(1997, 2, 10))
-    return t.groupBy("day").agg(F.count(F.lit(1)).alias("places"), F.count("temp").alias("n"), F.round(F.avg("temp"), 5).alias("temp"))
+    return t.groupBy("day").agg(F.count(F.lit(1)).alias("places"), F.count("temp").alias("n"), F.round(F.avg("temp") + 1e-9, 5).alias("temp"))
 
 
 def daily_cube(s, d):

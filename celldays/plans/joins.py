@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from celldays.functions.scalars import lookup
 from celldays.operators.grid import Grid, expand_months, full_grid, spine
+from celldays.operators import relational as RL
 from celldays.operators.quality import keys_in_both
 from celldays.operators.spatial import nearest_event_distance, nearest_within
 from celldays.operators.windows import as_of, window_ids
@@ -22,8 +21,7 @@ K = 'aoi_id, target_date, "row", col'
 @q("j01_surrogate_cell", f'with {OBS}, c as (select distinct "row", col from obs), i as (select *, "row" * 1000 + col as cell from c) select cell, count(*) as n from obs join i using ("row", col) group by 1')
 def _(s, d):
     o = obs(s, d)
-    ids = o.select("row", "col").distinct().withColumn("cell", F.col("row") * 1000 + F.col("col"))
-    return o.join(ids, ["row", "col"]).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return o.join(RL.surrogate_cells(o, 1000), ["row", "col"]).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("j02_full_outer_chain", f"""with {CELL_DAYS}, a as (select "row", col, day, temp from cd where temp > 30), b as (select "row", col, day, wind from cd where wind > 12), c as (select "row", col, day, rh from cd where rh > 60)
@@ -31,14 +29,12 @@ def _(s, d):
 def _(s, d):
     c = cell_days(s, d)
     parts = [c.where(f"{x} > {v}").select("row", "col", "day", F.round(x, 6).alias(x)) for x, v in (("temp", 30), ("wind", 12), ("rh", 60))]
-    return reduce(lambda a, b: a.join(b, ["row", "col", "day"], "full"), parts)
+    return RL.full_outer(parts, ["row", "col", "day"])
 
 
 @q("j03_rounded_coordinates", f"with {POINTS}, {STATIONS}, s as (select round_even(x, 1) as rx, round_even(y, 1) as ry, min(station) as station from st group by all) select id, station from (select id, round_even(x, 1) as rx, round_even(y, 1) as ry from pts) left join s using (rx, ry)")
 def _(s, d):
-    key = [F.bround("x", 1).alias("rx"), F.bround("y", 1).alias("ry")]
-    st = stations(s, d).groupBy(*key).agg(F.min("station").alias("station"))
-    return points(s, d).select("id", *key).join(st, ["rx", "ry"], "left").select("id", "station")
+    return RL.on_rounded(points(s, d), stations(s, d), 1, "station").select("id", "station")
 
 
 @q("j04_nearest_within", f"""with {POINTS}, {STATIONS}, c as (select id, station, st.x as sx, st.y as sy, sqrt((pts.x - st.x) ** 2 + (pts.y - st.y) ** 2) as dist from pts join st on abs(pts.x - st.x) <= 0.8 and abs(pts.y - st.y) <= 0.8),
@@ -59,9 +55,9 @@ def _(s, d):
 @q("j06_j07_anti_semi", f"with bad as (select distinct {K} from features_train where window_id is null or window_id < 1) select 'kept' as part, count(*) as n from features_train f where not exists (select 1 from bad b where b.aoi_id = f.aoi_id and b.target_date = f.target_date and b.\"row\" = f.\"row\" and b.col = f.col) union all select 'bad', count(*) from features_train f where exists (select 1 from bad b where b.aoi_id = f.aoi_id and b.target_date = f.target_date and b.\"row\" = f.\"row\" and b.col = f.col)")
 def _(s, d):
     f = features(s, d)
-    bad = f.where("window_id is null or window_id < 1").select(*KEY).distinct()
+    bad, kept = RL.with_and_without(f, f.where("window_id is null or window_id < 1"), KEY)
     n = lambda t, p: t.agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("n"))
-    return n(f.join(bad, KEY, "left_anti"), "kept").union(n(f.join(bad, KEY, "left_semi"), "bad"))
+    return n(kept, "kept").union(n(bad, "bad"))
 
 
 @q("j08_key_intersection", f"select count(*) as n from (select {K} from labels_combined intersect select {K} from features_train)")
@@ -73,8 +69,8 @@ def _(s, d):
  select l.label_id, l.label, f.feat_id as right_feat_id from l left join f using ({K})""")
 def _(s, d):
     left = table(s, d, "labels_combined").where("label is not null").groupBy(*KEY).agg(F.min("label_id").alias("label_id"), F.max("label").alias("label"))
-    right = features(s, d).where("window_id = 1").groupBy(*KEY).agg(F.min("feat_id").alias("right_feat_id"))
-    return left.join(right, KEY, "left").select("label_id", "label", "right_feat_id")
+    right = features(s, d).where("window_id = 1").groupBy(*KEY).agg(F.min("feat_id").alias("label_id"))
+    return RL.validated_left(left, right, KEY, "_feat").select("label_id", "label", F.col("label_id_feat").alias("right_feat_id"))
 
 
 @q("j11_one_to_many", f"select f.feat_id, l.label_id from labels_combined l join features_train f using ({K}) where l.label = 1")

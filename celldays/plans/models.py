@@ -121,12 +121,12 @@ def _(s, d):
     return s.read.parquet(out).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("k02_k03_compaction", "select count(*) as n from region")
+@q("k02_k03_compaction", "select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as price from orders group by 1")
 def _(s, d):
     out = f"{checkpoint_dir(s)}/compact-{s.sparkContext.applicationId}"
-    SK.once(table(s, d, "region").repartition(4), out)
-    SK.once(table(s, d, "region").limit(1), out)  # the output exists, so nothing is written
-    return SK.compacted(s, out, f"{out}-one").agg(F.count(F.lit(1)).alias("n"))
+    SK.once(table(s, d, "orders").repartition(24), out)
+    SK.once(table(s, d, "orders").where("o_orderkey < 0"), out)  # the output exists, so nothing is written
+    return SK.compacted(s, out, f"{out}-one").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
 
 
 @q("k10_pixel_export", "select vec_id, i::int as pixel, (label % 2)::int as y_true, round(embedding[i + 1]::double, 6) as prob from embeddings, range(0, 64) r(i)")

@@ -11,8 +11,9 @@ from celldays.operators import forecast as FC
 from celldays.operators.features import scaled, xy
 from celldays.operators.patterns import balanced_negatives, history_patterns, negatives
 from celldays.operators.quality import clean, complete_keys, nulls_for_gaps
+from celldays.operators.relational import shared_places
 from celldays.operators.sampling import ratio_units, required_per_unit, weighted_sample
-from celldays.operators.splits import assign_summers, choose_val_years, ratio_splits, shared_days
+from celldays.operators.splits import assign_summers, choose_val_years, ratio_splits
 from celldays.plans.base import Registry, cell_days, features
 from celldays.plans.sampling import H, K, KEY, _U
 from celldays.plans.windows import CUBE, CURRENT, PATTERN, TRAIL, cube, current, trailing
@@ -67,10 +68,10 @@ def _(s, d):
     return ratio_splits(pattern_table(s, d), "target_date", "pattern_type", KEY, {"Fire-1": 1, "Fire-5": 3, "Fre-2": 2}, RANGES).select("split", "pattern_type", *KEY)
 
 
-@q("c04_disjoint_days", "select count(*) as shared from (select 1 where false)")
+@q("c04_disjoint_days", """with r as (select target_date, case substr(ltrim(lower(split), chr(32) || chr(9)), 1, 2) when 'tr' then 'train' when 'va' then 'val' when 'te' then 'test' end as split from labels_combined)
+ select target_date, count(distinct split) as parts from r where split is not null group by 1 having count(distinct split) > 1""")
 def _(s, d):
-    r = ratio_splits(pattern_table(s, d), "target_date", "pattern_type", KEY, {"Fire-1": 1, "Fire-5": 3, "Fre-2": 2}, RANGES)
-    return shared_days(r, "target_date").agg(F.count(F.lit(1)).alias("shared"))
+    return shared_places(table(s, d, "labels_combined").select("target_date", split_of("split").alias("split")), "target_date", "split")
 
 
 def _summer(y):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from celldays.operators import relational as RL
 from celldays.operators import sampling as SA
 from celldays.operators.metrics import best_threshold, sweep
 from celldays.operators.quality import keep_first, keys_in_both, validate_windows
 from celldays.operators.splits import shared_days, without_conflicts
 from celldays.plans.aggregates import METRICS, SCORES, scores
-from celldays.plans.base import CELL_DAYS, Registry, cell_days, features
+from celldays.plans.base import CELL_DAYS, Registry, cell_days, features, obs
 from celldays.session import table
 
 q = Registry()
@@ -106,7 +107,7 @@ def _(s, d):
 
 @q("t13_fire_first", f"select label_id from (select label_id, row_number() over (order by label desc nulls last, label_id) as k from labels_combined) where k <= 300")
 def _(s, d):
-    return table(s, d, "labels_combined").orderBy(F.desc_nulls_last("label"), "label_id").limit(300).select("label_id")
+    return RL.marked_first(table(s, d, "labels_combined"), "label", "label_id", 300).select("label_id")
 
 
 _SWEEP = f"""with {SCORES}, g as (select i, i / 100 as threshold from range(0, 101) r(i)), b as (select floor(p * 100 + 1e-9)::int as bin, y from sc),
@@ -127,9 +128,8 @@ def _(s, d):
 @q("u01_u02_unions", f"select 'all' as part, count(*) as n from (select {K} from labels_combined union all select {K} from features_train) union all select 'distinct', count(*) from (select {K} from labels_combined union select {K} from features_train)")
 def _(s, d):
     a, b = table(s, d, "labels_combined").select(*KEY), features(s, d).select(*KEY)
-    u = a.unionByName(b)
     n = lambda t, p: t.agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("n"))
-    return n(u, "all").union(n(u.distinct(), "distinct"))
+    return n(RL.united([a, b], KEY), "all").union(n(RL.united([a, b], KEY, True), "distinct"))
 
 
 @q("u03_set_operations", f"select 'both' as part, count(*) as n from (select {K} from labels_combined intersect select {K} from features_train) union all select 'left', count(*) from (select {K} from labels_combined except select {K} from features_train)")
@@ -155,15 +155,15 @@ def _(s, d):
     return validate_windows(features(s, d), KEY)
 
 
-@q("u08_split_attached", "select 'train' as split, count(*) as n from features_train")
+@q("u08_split_attached", "select 'train' as split, coalesce(lower(trim(split)) <> 'train', false) as clash, count(*) as n from labels_combined group by all")
 def _(s, d):
-    return features(s, d).withColumn("split", F.lit("train")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return RL.with_split(table(s, d, "labels_combined"), "train").groupBy("split", "clash").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("u09_cube_agreement", f'with {CELL_DAYS} select count(distinct day) as days, max("row") as max_row, max(col) as max_col, count(*) as n_rows, count(*) = count(distinct ("row", col, day)) as unique_keys from cd')
+@q("u09_cube_agreement", f"""with {CELL_DAYS}, a as (select "row", col, day, count(*) as a from obs group by all), b as (select "row", col, day, count(*) as b from cd where wind > 5 group by all)
+ select count(*) filter (where a is not null and b is not null) as both, count(*) filter (where b is null) as left_only, count(*) filter (where a is null) as right_only, count(*) filter (where a > 1 or b > 1) as repeated from a full join b using ("row", col, day)""")
 def _(s, d):
-    c = cell_days(s, d)
-    return c.agg(F.count_distinct("day").alias("days"), F.max("row").alias("max_row"), F.max("col").alias("max_col"), F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) == F.count_distinct("row", "col", "day")).alias("unique_keys"))
+    return RL.agreement(obs(s, d), cell_days(s, d).where("wind > 5"), ["row", "col", "day"])
 
 
 QUERIES, SQL = q.queries, q.sql

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from celldays.functions import scalars as S
 from celldays.functions.fbp import convert_grid_codes, grass_curing
 from celldays.functions.reading import label_fits, split_of
 from celldays.functions.time import cyclic, day_floor_seconds, is_summer
+from celldays.operators import relational as RL
 from celldays.operators.grid import Grid, albers, flat, place, unflat
 from celldays.operators.metrics import focal_loss, sanitised
 from celldays.operators.quality import all_missing, any_missing, complete_keys, gone
@@ -175,7 +178,7 @@ def _(s, d):
 
 @q("f03_bbox", f"with {POINTS} select id from pts where x between 2 and 6 and y between 1 and 7.5")
 def _(s, d):
-    return points(s, d).where(F.col("x").between(2, 6) & F.col("y").between(1, 7.5)).select("id")
+    return points(s, d).where(RL.in_box(F.col("x"), F.col("y"), (2, 1, 6, 7.5))).select("id")
 
 
 @q("f04_type_filter", "select l_returnflag, l_linestatus, count(*) as n from lineitem where l_linestatus = 'F' and l_returnflag in ('A', 'R') group by all")
@@ -185,7 +188,7 @@ def _(s, d):
 
 @q("f05_group_completeness", "select ts::date as day, count(distinct event_type) as kinds from events group by 1 having count(distinct event_type) >= 5")
 def _(s, d):
-    return table(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("event_type").alias("kinds")).where("kinds >= 5")
+    return RL.complete_groups(table(s, d, "events"), [F.to_date("ts").alias("day")], "event_type", 5)
 
 
 @q("f06_f11_missing_masks", "with f as (select feat_id, (aet is null or isnan(aet) or isinf(aet)) as a, (fwi is null or isnan(fwi) or isinf(fwi)) as b, (dc is null or isnan(dc) or isinf(dc)) as c from features_train) select feat_id, a or b or c as some_missing, a and b and c as all_missing, not a as finite_aet from f")
@@ -198,13 +201,13 @@ def _(s, d):
 def _(s, d):
     c = cell_days(s, d)
     hot = c.where("fire = 1 and temp > 30").select("day").distinct()
-    return c.where("fire = 0").join(hot, "day", "left_semi").select("row", "col", "day")
+    return RL.with_and_without(c.where("fire = 0"), hot, ["day"])[0].select("row", "col", "day")
 
 
 @q("f08_f09_date_slices", "select count(*) as n, count(*) filter (where o_orderdate::date between date '1997-03-01' and date '1997-06-30') as n_slice from orders where o_orderdate::date between date '1997-03-01' - 14 and date '1997-06-30'")
 def _(s, d):
     day = F.to_date("o_orderdate")
-    t = table(s, d, "orders").where(day.between(F.date_sub(F.lit("1997-03-01").cast("date"), 14), F.lit("1997-06-30").cast("date")))
+    t = table(s, d, "orders").where(RL.with_prehistory(day, date(1997, 3, 1), date(1997, 6, 30), 14))
     return t.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(day >= F.lit("1997-03-01").cast("date"), 1)).alias("n_slice"))
 
 

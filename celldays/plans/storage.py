@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from celldays.functions.reading import alnum_upper, split_of
 from celldays.operators.grid import Grid, full_grid
+from celldays.operators.relational import aspect_parts, head_sizes, key_tuples
 from celldays.plans.base import Registry, features
 from celldays.plans.models import COLS, samples
 from celldays.session import checkpoint_dir, table
@@ -94,21 +95,23 @@ def _(s, d):
     return s.createDataFrame(rows, "reg double, elastic double, score double")
 
 
-@q("x26_head_sizes", "select p_partkey, split_part('160x' || (p_size % 12 + 1), 'x', 1)::int as width, split_part('160x' || (p_size % 12 + 1), 'x', 2)::int as heads from part")
+@q("x26_head_sizes", "select p_partkey, case when p_partkey % 3 < 2 then p_size end::int as width, case when p_partkey % 3 < 2 then p_partkey end::int as heads from part")
 def _(s, d):
-    parts = F.split(F.concat(F.lit("160x"), (F.col("p_size") % 12 + 1).cast("string")), "x")
-    return table(s, d, "part").select("p_partkey", parts[0].cast("int").alias("width"), parts[1].cast("int").alias("heads"))
+    width, heads = head_sizes(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, " X ").when(F.col("p_partkey") % 3 == 1, "x").otherwise("/"), F.col("p_partkey").cast("string")))
+    return table(s, d, "part").select("p_partkey", width.alias("width"), heads.alias("heads"))
 
 
-@q("x28_aspect_parts", "select feat_id, round(sin(radians(slope::double * 4)), 9) as s, round(cos(radians(slope::double * 4)), 9) as c from features_train where slope between 0 and 90")
+@q("x28_aspect_parts", "with a as (select feat_id, case when aspect_sin = 0 and aspect_cos = 0 then -1 else round(degrees(atan2(aspect_sin::double, aspect_cos::double)), 6) end as a from features_train where not isnan(aspect_sin) and not isnan(aspect_cos) and aspect_sin between -1 and 1 and aspect_cos between -1 and 1) select feat_id, case when a < 0 then 0.0 else round(sin(radians(a)), 7) end::double as s, case when a < 0 then 0.0 else round(cos(radians(a)), 7) end::double as c from a")
 def _(s, d):
-    a = F.radians(F.col("slope").cast("double") * 4)
-    return features(s, d).where("slope between 0 and 90").select("feat_id", F.round(F.sin(a), 9).alias("s"), F.round(F.cos(a), 9).alias("c"))
+    f = features(s, d).where("not isnan(aspect_sin) and not isnan(aspect_cos) and aspect_sin between -1 and 1 and aspect_cos between -1 and 1")
+    a = F.when((F.col("aspect_sin") == 0) & (F.col("aspect_cos") == 0), -1.0).otherwise(F.round(F.degrees(F.atan2(F.col("aspect_sin").cast("double"), F.col("aspect_cos").cast("double"))), 6))
+    x, y = aspect_parts(F.col("a"))
+    return f.select("feat_id", a.alias("a")).select("feat_id", F.round(x, 7).alias("s"), F.round(y, 7).alias("c"))
 
 
-@q("u07_u10_carried_columns", "select feat_id, aoi_id, sample_key, source_file from features_train where source_file is not null and aoi_id = 3")
+@q("u07_u10_carried_columns", "select aoi_id || '_' || \"row\" || '_' || col as key_text, feat_id, sample_key from features_train where aoi_id is not null and \"row\" is not null and col is not null")
 def _(s, d):
-    return features(s, d).where("source_file is not null and aoi_id = 3").select("feat_id", "aoi_id", "sample_key", "source_file")
+    return key_tuples(features(s, d), ["aoi_id", "row", "col"], carry=["feat_id", "sample_key"]).drop("key")
 
 
 QUERIES, SQL = q.queries, q.sql

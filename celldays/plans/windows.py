@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from celldays.operators import forecast as FC
+from celldays.operators import relational as RL
 from celldays.operators import spatial as SP
 from celldays.operators.quality import repeated
 from celldays.operators.scan import hourly_codes, weather_codes
 from celldays.operators.windows import forward_fill, history_tensor, pattern_class, trailing
 from celldays.plans.aggregates import HISTORY, history
-from celldays.plans.base import CELL_DAYS, OBS, Registry, cell_days, features, obs
+from celldays.plans.base import CELL_DAYS, OBS, Registry, features, obs
 from celldays.session import table
 
 q = Registry()
@@ -216,9 +216,7 @@ def _(s, d):
 
 @q("w17_first_valid", "with f as (select user_id, min(ts) as first from events where event_type = 'click' group by 1) select event_id from events join f using (user_id) where ts >= first")
 def _(s, d):
-    e = table(s, d, "events")
-    w = Window.partitionBy("user_id")
-    return e.withColumn("first", F.min(F.when(F.col("event_type") == "click", F.col("ts"))).over(w)).where("ts >= first").select("event_id")
+    return RL.from_first_valid(table(s, d, "events"), ["user_id"], "ts", F.col("event_type") == "click").select("event_id")
 
 
 @q("w18_history_tensor", "with dly as (select user_id, ts::date as day, round(sum(value), 4) as v from events group by all), t as (select user_id, day, list(v) over (partition by user_id order by day rows between 14 preceding and current row) as history from dly) select user_id, day, history from t where len(history) = 15")

@@ -20,4 +20,4 @@ def test_equal(spark, db, name):
 
 @pytest.mark.parametrize("name", OTHER)
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, str(FOLDER)).columns
+    entry.queries()[name](spark, str(FOLDER)).write.format("noop").mode("overwrite").save()
