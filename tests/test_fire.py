@@ -68,7 +68,7 @@ def test_behaviour_edges(spark):
 
 def test_diurnal(spark):
     df = spark.createDataFrame([(90.0, 50.0, 16, 0), (90.0, 50.0, 16, 30), (90.0, None, 16, 0), (None, 50.0, 16, 0), (200.0, 0.0, 8, 15), (90.0, 50.0, 0, 30)], "ffmc double, rh double, hour int, minute int")
-    got = [r["diurnal_ffmc"] for r in diurnal_ffmc(df).collect()]
+    got = [r["diurnal_ffmc"] for r in diurnal_ffmc(df, stand_in_tables()).collect()]
     t = stand_in_tables()
     at = lambda h: float(np.interp(90.0, t.axis, t.main[h]))
     assert got[0] == pytest.approx(at(16)) and got[1] == pytest.approx((at(16) + at(17)) / 2)
