@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +18,48 @@ def _near_buckets(c: str, size: float) -> Column:
     return F.explode(F.sequence(b - 1, b + 1))
 
 
+#: mean number of points in the bucket of a point up to which buckets are halved, and how often at most
+CROWD, HALVINGS = 4, 12
+
+
+def _halvings(points: DataFrame, on: list[str], limit: float) -> int:
+    """How often buckets of ``limit`` are halved until the points (rx, ry) have few companions in their own; one figure per step comes to the driver."""
+    k = 0
+    while k < HALVINGS:
+        n = points.groupBy(*on, *(F.floor(F.col(c) / (limit / 2**k)).alias(f"b{c}") for c in ("rx", "ry"))).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        (crowd,) = n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()
+        if crowd is None or crowd <= CROWD:
+            break
+        k = min(HALVINGS, k + max(1, ceil(log(crowd / CROWD, 4))))
+    return k
+
+
 def nearest_within(left: DataFrame, right: DataFrame, x: str, y: str, limit: float, keep: list[str], on: list[str] | None = None) -> DataFrame:
     """Left rows with the columns ``keep`` of the nearest right point at most ``limit`` away (null where there is none) and its distance.
 
-    Right points go to the 9 buckets around their own; each left row meets the points of one bucket only. Equal distances
-    are decided by the right coordinates, then by the kept values. left needs a unique column ``id``.
+    Rounds of buckets, small enough at first that few right points share one and doubled up to ``limit``: right points go to the 9 buckets around
+    their own, each left row meets the points of one bucket and is settled by one at most a bucket away; only the rest goes on. Right points of one
+    place are reduced to the least before. Equal distances are decided by the right coordinates, then by the kept values. left needs a unique column ``id``.
     """
     on = on or []
-    r = right.select(*on, F.col(x).alias("rx"), F.col(y).alias("ry"), *keep).where("rx is not null and ry is not null")
-    r = r.withColumn("bx", _near_buckets("rx", limit)).withColumn("by", _near_buckets("ry", limit))
-    probe = left.select("id", *on, x, y).withColumn("bx", F.floor(F.col(x) / limit)).withColumn("by", F.floor(F.col(y) / limit))
-    dist = F.hypot(F.col(x) - F.col("rx"), F.col(y) - F.col("ry"))
-    best = probe.join(r, [*on, "bx", "by"]).withColumn("distance", dist).where(F.col("distance") <= limit).groupBy("id").agg(F.min(F.struct("distance", "rx", "ry", *keep)).alias("m"))
-    return left.join(best, "id", "left").select(*left.columns, *(F.col(f"m.{k}").alias(k) for k in keep), F.col("m.distance").alias("distance"))
+    finite = (F.abs("rx") < float("inf")) & (F.abs("ry") < float("inf"))
+    r = right.select(*on, F.col(x).alias("rx"), F.col(y).alias("ry"), *keep).where(finite)
+    r = cut(r.groupBy(*on, "rx", "ry").agg(F.min(F.struct(*keep)).alias("kept")))
+    dx, dy = F.col(x) - F.col("rx"), F.col(y) - F.col("ry")
+    dist = F.sqrt(dx * dx + dy * dy)
+    rest, found = left.select("id", *on, x, y), None
+    for k in range(_halvings(r, on, limit), -1, -1):
+        size = limit / 2**k
+        wide = size * (1 + 1e-9)  # no rounding puts points at most size apart further than one bucket
+        near = r.withColumn("bx", _near_buckets("rx", wide)).withColumn("by", _near_buckets("ry", wide))
+        probe = rest.withColumn("bx", F.floor(F.col(x) / wide)).withColumn("by", F.floor(F.col(y) / wide))
+        best = cut(probe.join(near, [*on, "bx", "by"], "left").groupBy("id", *on, x, y).agg(F.min(F.when(dist <= size, F.struct(dist.alias("distance"), "rx", "ry", "kept"))).alias("m")))
+        hit = best.where("m is not null").select("id", "m")
+        found = hit if found is None else found.unionByName(hit)
+        rest = best.where("m is null").select("id", *on, x, y)
+        if k and rest.isEmpty():
+            break
+    return left.join(found, "id", "left").select(*left.columns, *(F.col(f"m.kept.{c}").alias(c) for c in keep), F.col("m.distance").alias("distance"))
 
 
 def nearest_event_distance(cells: DataFrame, events: DataFrame, size: int) -> DataFrame:
