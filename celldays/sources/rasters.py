@@ -20,15 +20,19 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celldays.operators.grid import Grid
+from celldays.session import cut
 
 # fixed values of the formats: NetCDF types with their sizes, TIFF field types with theirs
 NC_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 
+#: places of a grid in one written file and rows of a batch read, so that a task's arrays have a few MB
+BATCH = 1 << 18
+
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, content) of the files of a folder."""
@@ -124,10 +128,23 @@ def _days(nc: Netcdf, time: str) -> np.ndarray:
     return np.floor(start + nc.values(time) / (1 if m[1] == "day" else 24)).astype(np.int32)
 
 
+def _steps(chunk: int, places: int) -> int:
+    """Time steps of a batch: ``chunk``, fewer where a grid has many places."""
+    return min(chunk, max(1, BATCH // max(1, places)))
+
+
+def _columns(days: np.ndarray, y: np.ndarray, x: np.ndarray, values: list[np.ndarray], ok: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """The wanted places of a block of steps as rows, NaN as null."""
+    n = len(y) * len(x)
+    grid = [np.repeat(days, n)[ok], np.tile(np.repeat(y, len(x)), len(days))[ok], np.tile(x, len(days) * len(y))[ok]]
+    arrays = [pa.array(grid[0]).cast(pa.date32()), pa.array(grid[1]), pa.array(grid[2]), *(pa.array(c[ok], mask=np.isnan(c[ok])) for c in values)]
+    return pa.RecordBatch.from_arrays(arrays, ["day", "lat", "lon", *names])
+
+
 def netcdf_rows(found: DataFrame, variables: dict[str, str], time: str = "time", lat: str = "lat", lon: str = "lon", chunk: int = 30, first: date | None = None, last: date | None = None) -> DataFrame:
     """(day, lat, lon, one column per variable) of gridded files; variables: name in the file to column, absent ones are null.
 
-    Only the time steps between first and last (inclusive) are decoded, ``chunk`` of them at a time.
+    Only the time steps between first and last (inclusive) are decoded, ``chunk`` of them at a time, fewer where the grid is large.
     """
     names = list(variables.values())
     low, high = (d and d.toordinal() - date(1970, 1, 1).toordinal() for d in (first, last))
@@ -139,21 +156,61 @@ def netcdf_rows(found: DataFrame, variables: dict[str, str], time: str = "time",
                     continue
                 nc = Netcdf(content.as_py())
                 days, y, x = _days(nc, time), nc.values(lat), nc.values(lon)
-                keep = np.flatnonzero((days >= (low if low is not None else days.min(initial=0))) & (days <= (high if high is not None else days.max(initial=0))))
+                wanted = (days >= (low if low is not None else days.min(initial=0))) & (days <= (high if high is not None else days.max(initial=0)))
+                keep, n = np.flatnonzero(wanted), len(y) * len(x)
                 if not len(keep):
                     continue
-                for i in range(int(keep[0]), int(keep[-1]) + 1, chunk):
-                    j = min(i + chunk, int(keep[-1]) + 1)
-                    n = (j - i) * len(y) * len(x)
-                    columns = [nc.values(v, i, j).ravel() if v in nc.variables else np.full(n, np.nan) for v in variables]
-                    grid = [np.repeat(days[i:j], len(y) * len(x)), np.tile(np.repeat(y, len(x)), j - i), np.tile(x, (j - i) * len(y))]
-                    ok = (grid[0] >= (low if low is not None else grid[0].min())) & (grid[0] <= (high if high is not None else grid[0].max()))
-                    arrays = [pa.array(grid[0][ok]).cast(pa.date32()), pa.array(grid[1][ok]), pa.array(grid[2][ok]), *(pa.array(c[ok], mask=np.isnan(c[ok])) for c in columns)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["day", "lat", "lon", *names])
+                step = _steps(chunk, n)
+                for i in range(int(keep[0]), int(keep[-1]) + 1, step):
+                    j = min(i + step, int(keep[-1]) + 1)
+                    columns = [nc.values(v, i, j).ravel() if v in nc.variables else np.full((j - i) * n, np.nan) for v in variables]
+                    yield _columns(days[i:j], y, x, columns, np.repeat(wanted[i:j], n), names)
 
     return found.select("content").mapInArrow(run, "day date, lat double, lon double, " + ", ".join(f"`{c}` double" for c in names))
 
 
+def netcdf_merged(found: DataFrame, files: dict[str, dict[str, str]], time: str = "time", lat: str = "lat", lon: str = "lon", chunk: int = 30) -> DataFrame:
+    """(day, lat, lon, one column per variable) of files that lie side by side in a row, as ``merged`` gives them, without a join of their places.
+
+    files: column of contents to the variables wanted of it (name in the file to column). The files of a row may have other axes than each other: every place of any of
+    them is kept, what a file lacks is null. No other row may hold the same places, as with one row per span of time. Repeated days or coordinates in a file are refused.
+    """
+    names = [c for wanted in files.values() for c in wanted.values()]
+
+    def aligned(contents: list[bytes | None]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for content, wanted in zip(contents, files.values(), strict=True):
+            nc = None if content is None else Netcdf(content)
+            axes = [np.empty(0)] * 3 if nc is None else [_days(nc, time), nc.values(lat), nc.values(lon)]
+            if any(len(np.unique(a)) < len(a) for a in axes):
+                raise ValueError("a file with repeated days or coordinates can't be merged")
+            got.append((nc, axes, wanted))
+        days, y, x = (np.unique(np.concatenate([axes[k] for _, axes, _ in got])) for k in range(3))
+        days, step = days.astype(np.int32), _steps(chunk, len(y) * len(x))
+        for i in range(0, len(days), step):
+            block = days[i : i + step]
+            shape, columns = (len(block), len(y), len(x)), []
+            held = np.zeros(shape, bool)
+            for nc, axes, wanted in got:
+                own = np.flatnonzero(np.isin(axes[0], block))
+                at = np.ix_(np.searchsorted(block, axes[0][own]), np.searchsorted(y, axes[1]), np.searchsorted(x, axes[2]))
+                held[at] = True
+                for v in wanted:
+                    column = np.full(shape, np.nan)
+                    if len(own) and v in nc.variables:
+                        begin = int(own.min())
+                        column[at] = nc.values(v, begin, int(own.max()) + 1)[own - begin]
+                    columns.append(column.ravel())
+            yield _columns(block, y, x, columns, held.ravel(), names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from aligned([b.column(k)[i].as_py() for k in range(len(files))])
+
+    return found.select(*files).mapInArrow(run, "day date, lat double, lon double, " + ", ".join(f"`{c}` double" for c in names))
+
+
 def merged(parts: list[DataFrame], on: list[str]) -> DataFrame:
     """Tables of different variables side by side, every coordinate of any of them kept."""
     return reduce(lambda a, b: a.join(b, on, "full"), parts)
@@ -312,19 +369,44 @@ def netcdf_bytes(axes: dict[str, np.ndarray], values: dict[str, np.ndarray], uni
     return header(at) + body + b"".join(arrays[v][i : i + 1].astype(">f8").tobytes() for i in range(n) for v in record)
 
 
-def to_netcdfs(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
-    """(keys, content): one NetCDF file per key of rows (keys, day, lat, lon, variables), over the days and coordinates that the key's rows have."""
+def to_netcdfs(df: DataFrame, keys: list[str], variables: list[str] | dict[str, list[str]], axes: DataFrame | None = None, most: int = BATCH) -> DataFrame:
+    """(keys, part, content): NetCDF files per key of rows (keys, day, lat, lon, variables), over the days and coordinates that the key's rows have.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        days = pd.to_datetime(p["day"]).to_numpy().astype("datetime64[D]").astype(int)
-        axes, places = {}, []
-        for name, v in (("time", days), ("lat", p["lat"].to_numpy(float)), ("lon", p["lon"].to_numpy(float))):
-            axes[name], at = np.unique(v, return_inverse=True)
-            places.append(at)
-        values = {c: np.full([len(a) for a in axes.values()], np.nan) for c in variables}
-        for c in variables:
-            values[c][tuple(places)] = p[c].to_numpy(float)
-        content = netcdf_bytes({k: v.astype(float) for k, v in axes.items()}, values, {"time": "days since 1970-01-01"})
-        return pd.DataFrame({**{k: [p[k].iloc[0]] for k in keys}, "content": [content]})
-
-    return df.select(*keys, "day", "lat", "lon", *variables).groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {t}" for k, t in df.select(*keys).dtypes), "content binary"]))
+    A key's grid is stored in parts, each of the days that ``most`` places hold (one at least) and of all coordinates of the key, so a task's arrays don't grow with the span
+    of a key. variables may name several columns of contents with the variables of each. axes: (keys, day, lat, lon) of the grids where they are cheaper to read
+    than from df or reach beyond it; they are reduced to distinct values, one row per key is broadcast. Rows without day or coordinates have no place.
+    """
+    contents = variables if isinstance(variables, dict) else {"content": variables}
+    wanted = list(dict.fromkeys(v for vs in contents.values() for v in vs))
+    kinds = [f"`{k}` {t}" for k, t in df.select(*keys).dtypes]
+    held = (df if axes is None else axes).select(*keys, "day", "lat", "lon").dropna(subset=["day", "lat", "lon"])
+    pairs = (("time", F.unix_date(F.to_date("day"))), ("lat", F.col("lat")), ("lon", F.col("lon")))
+    marks = cut(held.select(*(F.col(k).alias(k) for k in keys), F.inline(F.array(*(F.struct(F.lit(a).alias("axis"), v.cast("double").alias("at")) for a, v in pairs)))).distinct())
+    count = lambda a: F.sum((F.col("axis") == a).cast("long"))
+    spans = marks.groupBy(*keys).agg(F.greatest(F.lit(1).cast("long"), F.floor(most / (count("lat") * count("lon")))).alias("span"))
+
+    def with_part(t: DataFrame, day: Column, how: str) -> DataFrame:
+        s = F.broadcast(spans.select(*(F.col(k).alias(f"_{k}") for k in keys), "span"))
+        on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        return t.join(s, on, how).withColumn("part", F.floor(day / F.col("span")))
+
+    days = with_part(marks.where("axis = 'time'"), F.col("at"), "inner").select(*keys, "part", "axis", "at")
+    parts = F.broadcast(days.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.collect_set("part").alias("parts")))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    places = marks.where("axis <> 'time'").join(parts, on).select(*keys, F.explode("parts").alias("part"), "axis", "at")
+
+    def run(rows: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
+        at = {a: np.sort(grid["at"].to_numpy(float)[(grid["axis"] == a).to_numpy()]) for a in ("time", "lat", "lon")}
+        own = [pd.to_datetime(rows["day"]).to_numpy().astype("datetime64[D]").astype(int).astype(float), rows["lat"].to_numpy(float), rows["lon"].to_numpy(float)]
+        if any(not np.isin(v, a).all() for v, a in zip(own, at.values(), strict=True)):
+            raise ValueError("rows beyond the axes of their key")
+        where = tuple(np.searchsorted(a, v) for v, a in zip(own, at.values(), strict=True))
+        values = {c: np.full([len(a) for a in at.values()], np.nan) for c in wanted}
+        for c in wanted:
+            values[c][where] = rows[c].to_numpy(float)
+        files = {name: [netcdf_bytes(at, {v: values[v] for v in vs}, {"time": "days since 1970-01-01"})] for name, vs in contents.items()}
+        return pd.DataFrame({**{k: [grid[k].iloc[0]] for k in keys}, "part": [grid["part"].iloc[0]], **files})
+
+    placed = with_part(df.select(*keys, "day", "lat", "lon", *wanted).dropna(subset=["day", "lat", "lon"]), F.unix_date(F.to_date("day")), "left").select(*keys, "part", "day", "lat", "lon", *wanted)
+    both = placed.groupBy(*keys, "part").cogroup(days.unionByName(places).groupBy(*keys, "part"))
+    return both.applyInPandas(run, ", ".join([*kinds, "part long", *(f"`{c}` binary" for c in contents)]))
