@@ -32,6 +32,8 @@ TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 1
 
 #: places of a grid in one written file and rows of a batch read, so that a task's arrays have a few MB
 BATCH = 1 << 18
+#: files that a task writes on average, where the session's shuffle partitions would be fewer tasks
+FILES = 2
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -408,5 +410,8 @@ def to_netcdfs(df: DataFrame, keys: list[str], variables: list[str] | dict[str,
         return pd.DataFrame({**{k: [grid[k].iloc[0]] for k in keys}, "part": [grid["part"].iloc[0]], **files})
 
     placed = with_part(df.select(*keys, "day", "lat", "lon", *wanted).dropna(subset=["day", "lat", "lon"]), F.unix_date(F.to_date("day")), "left").select(*keys, "part", "day", "lat", "lon", *wanted)
+    tasks = days.select(*keys, "part").distinct().count() // FILES
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        placed = placed.repartition(tasks, *keys, "part")
     both = placed.groupBy(*keys, "part").cogroup(days.unionByName(places).groupBy(*keys, "part"))
     return both.applyInPandas(run, ", ".join([*kinds, "part long", *(f"`{c}` binary" for c in contents)]))

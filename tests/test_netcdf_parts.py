@@ -69,3 +69,11 @@ def test_files_of_other_axes_as_joined(spark):
     twice = spark.createDataFrame([(content("a", [1, 1], [1], [1]), None)], "one binary, two binary")
     with pytest.raises(PythonException, match="repeated"):
         RA.netcdf_merged(twice, {"one": {"a": "a"}, "two": {"b": "b"}}).collect()
+
+
+def test_files_spread_over_tasks(spark):
+    """Many files are written by more tasks than the session has shuffle partitions, so that a task holds few of them."""
+    rows = [(2020, DAY + timedelta(i), float(i % 3), 1.0, float(i)) for i in range(200)]
+    found = RA.to_netcdfs(spark.createDataFrame(rows, "y int, day date, lat double, lon double, v double"), ["y"], ["v"], most=3)
+    assert found.count() == 200 and found.rdd.getNumPartitions() == 200 // RA.FILES
+    assert RA.netcdf_rows(found, {"v": "v"}).where("v is not null").count() == 200
